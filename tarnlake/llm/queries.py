@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tarnlake.llm import decontam
+from tarnlake.llm.decontam import op8_decontamination
 from tarnlake.llm.packing import op7_packing
 from tarnlake.llm.secrets import op1_secret_scan
 from tarnlake.llm.simhash import op6_simhash
 from tarnlake.llm.tokenbin import op9_token_output
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_simhash, op7_packing, op9_token_output)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_simhash, op7_packing, op8_decontamination, op9_token_output)}
+ORACLES: dict[str, str] = {"op8_decontamination": decontam.ORACLE}
