@@ -113,6 +113,20 @@ def chunks(batches: Iterator, most_bytes: int, columns: list[str]) -> Iterator[l
         yield out
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Range-partitioned and sorted by keys."""
+    return df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of work items dealt out evenly."""
+    return df.repartition(partitions(df.sparkSession))
+
+
 def ascii_lower(c):
     """A-Z in lower case; other letters stay."""
     return F.translate(c, UPPER, LOWER)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import chunks, docs_of, get_bytes, prepare, put_bytes, work_path, written
+from tarnlake.llm.common import chunks, dealt, docs_of, get_bytes, prepare, put_bytes, spread, work_path, written
 
 SPAN = 200  # bytes of a repeat
 WIN = 160  # starts among which a window chooses its place
@@ -184,12 +184,6 @@ def store(docs: DataFrame, path: str) -> DataFrame:
     return written(docs.mapInArrow(put, "file long"), "files")
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """Range-partitioned and sorted by keys."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-
-
 SUFFIX = "lead long, key long, full long, file long, place int, first int, last int"
 
 
@@ -408,7 +402,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     prepare(spark)
     path = work_path(spark, "texts")
     files = store(docs_of(docs).select(F.col("doc_id").cast("long"), "text"), path)
-    found = written(scan(dealt(suffixes(files, path), "lead", "key", "full", "file", "place")), "found")
+    found = written(scan(dealt(suffixes(spread(files), path), "lead", "key", "full", "file", "place")), "found")
     members = found.filter("gid >= 0")
     compared = written(compare(stretches(dealt(members.select("file", "first", "last", "gid", "many", "sure"), "file"), path).repartition("gid").sortWithinPartitions("gid")), "windows")
     shared = compared.filter("state > 0").groupBy("hash").count().filter("count > 1").select("hash")

@@ -6,7 +6,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tarnlake.llm import packing, secrets, tokenbin
+from tarnlake.llm import packing, tokenbin
+from tarnlake.llm import secret_scan as secrets
 from tarnlake.llm.common import WordEncoder, work_path
 
 NAME = public_tokenizers.path("byte_bpe_50k.json")
