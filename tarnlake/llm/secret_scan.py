@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import docs_of, prepare, work_path
+from tarnlake.llm.common import docs_of, prepare, work_path, written
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -106,8 +106,11 @@ class BlobLedger:
         held = history.withColumn("text", F.coalesce("text", F.lit("")))
         held = held.withColumn("blob", F.unhex(F.sha2("text", 256)))
         self.update(held.select("blob", "text"), rules)
-        found = self.table().filter(F.col("rule_version") == rules.version).select("blob", "spans").dropDuplicates(["blob"])
-        return held.select(*keys, "blob").join(found, "blob", "left").select(*keys, "blob", "spans")
+        found = self.table().filter((F.col("rule_version") == rules.version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
+        # written: both sides of the join are then plain exchanges, of which Spark can split a blob of many paths
+        found = written(found.select(F.col("blob").alias("_blob"), "spans"), "found")
+        none = F.array().cast(SPANS)
+        return held.select(*keys, "blob").join(found, F.col("blob") == F.col("_blob"), "left").select(*keys, "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def joined(kinds: tuple[str, ...] | None = None):
