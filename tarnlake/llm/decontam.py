@@ -87,6 +87,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     return y.select("doc_id", "th", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, that are not contaminated."""
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__tl_id"), F.col("th").alias("__tl_th")).distinct()
+    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("__tl_id")) & (F.xxhash64(docs.text) == F.col("__tl_th")), "left_anti")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))

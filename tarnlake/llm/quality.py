@@ -184,6 +184,21 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return docs_of(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all columns, that score at least `least`."""
+    prepare(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        make = Features()
+        for b in batches:
+            yield b.filter(pa.array(sent.value.scores([make(t) for t in texts(b)]) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, taught by labels whose crc32 modulo 3 is not 1."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))

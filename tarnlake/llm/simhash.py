@@ -3,9 +3,11 @@
 A fingerprint has 64 bits, each set if it is set in over half of the 64-bit hashes of a text's word shingles.
 Two fingerprints link at 3 or fewer differing bits. Links are found without comparing pairs at large:
 
-1. Every distinct fingerprint emits, for each of three blocks of its bits, the fingerprint without that block
-   and all its variants of one flipped bit (about 130 keys in all). Of three differing bits one can be hidden
-   by leaving out its block; the other two meet in the middle. So linked fingerprints share a key.
+1. Every distinct fingerprint emits, for each of some blocks of its bits, the fingerprint without that block
+   and all its variants of one flipped bit (33 keys for each of 2 blocks, 44 for each of 3). Of three differing
+   bits one can be hidden by leaving out its block; the other two meet in the middle. So linked fingerprints
+   share a key. There are as many blocks as keep keys from being shared by chance: 2 up to 8 million
+   fingerprints, 3 up to billions, 4 beyond; the links are the same.
 2. Fingerprints that share a key with few others are verified with those. Where many share a key, no pairs are
    made: those fingerprints emit all variants within one flip, and all of two flips in one half of the bits
    (of three differing bits two lie in one half). Whoever shares a variant with one that is within one flip of
@@ -20,6 +22,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -37,7 +40,15 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-BLOCKS = [sum(1 << b for b in r) for r in (range(0, 22), range(22, 43), range(43, 64))]
+def blocks_for(n: int) -> list[int]:
+    """Blocks of bits such that a fingerprint among n shares a key of a block with about one other by chance at most."""
+    k = 2
+    while k < 4 and n * (64 - 64 // k) ** 2 / 2 > 2 ** (64 - 64 // k):
+        k += 1
+    cuts = [64 * j // k for j in range(k + 1)]
+    return [sum(1 << b for b in range(x, y)) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
 HALVES = [range(0, 32), range(32, 64)]
 ONES = [0, *(1 << b for b in range(64))]
 TWOS = [1 << a | 1 << b for half in HALVES for a, b in combinations(half, 2)]
@@ -84,12 +95,12 @@ def flipped(c, masks: list[int]):
     return F.transform(F.array(*(F.lit(signed(m)) for m in masks)), lambda m: c.bitwiseXOR(m))
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, blocks: list[int] | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that keep all components of links; each is a link."""
     keys = []
-    for k, block in enumerate(BLOCKS):
+    for block in blocks or blocks_for(distinct.count()):
         keep = ~block & (1 << 64) - 1
-        tag = 1 << (0, 22, 43)[k]  # in the bits left out: which block it was
+        tag = block & -block  # in the bits left out: which block it was
         masks = [tag, *(tag | 1 << b for b in range(64) if not block >> b & 1)]
         keys.append(flipped(F.col("fp").bitwiseAND(F.lit(signed(keep))), masks))
     meet = distinct.select("fp", F.explode(F.concat(*keys)).alias("key"))
@@ -121,6 +132,120 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return fps.join(classes(fps), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+SEEDS = (42, 43, 44, 45)
+LEAST = 4  # bytes of a word that counts in keep_one's fingerprints: shorter ones are alike in all texts of a language
+SHINGLE = 5
+SKETCH = 256
+SIMILAR = 0.8
+BITS = 1 << 23
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """Of docs (rk, doc_id, text): th, a hash of the words; a fingerprint for each of SEEDS of the words of LEAST or
+    more bytes; and the SKETCH smallest 32-bit hashes of the shingles, of which similarity is told (exactly, for
+    texts of up to SKETCH shingles).
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        h = xxhash.xxh64_intdigest
+        for b in batches:
+            th, fps, kept = [], [], []
+            for t in texts(b):
+                words = t.lower().split()
+                joined = b" ".join(words)
+                th.append(signed(h(joined)))
+                long = [w for w in words if len(w) >= LEAST] or words
+                own = []
+                for seed in SEEDS:
+                    x = np.array([h(w, seed) for w in long], np.uint64)
+                    count = np.zeros(64, np.int64)
+                    for k in range(0, len(x), 8192):
+                        count += np.unpackbits(x[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+                    own.append(int(np.packbits(count * 2 > len(x), bitorder="little").view(np.int64)[0]))
+                fps.append(own)
+                if len(words) > SHINGLE:
+                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                    starts = np.concatenate([[0], ends[:-SHINGLE]]).tolist()
+                    s = np.array([h(joined[a:z]) for a, z in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64)
+                else:
+                    s = np.array([h(joined)], np.uint64)
+                kept.append(np.unique((s >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("doc_id"), pa.array(th, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["rk", "doc_id", "th", "fps", "sketch"])
+
+    return docs.mapInArrow(run, "rk long, doc_id long, th long, fps array<long>, sketch binary")
+
+
+def similar(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, sa, sb: sketches), those whose similarity is SIMILAR or more."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                both = np.union1d(x, y)[:SKETCH]  # the smallest of the union
+                shared = np.intersect1d(x, y, assume_unique=True)
+                keep.append(np.count_nonzero(shared <= both[-1]) >= SIMILAR * len(both))
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that of the smallest doc_id (null last); all columns stay.
+
+    Linked fingerprints of any of SEEDS propose pairs, and those of a similarity of SIMILAR on shingles of SHINGLE
+    words make the groups. Null texts are empty, and alike. Of rows that repeat a doc_id and its text, one stays.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    rk = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = written(sketches(docs.select(rk.alias("rk"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))), "sketches")
+    nodes = written(rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "nodes")
+    pairs = None
+    for k in range(len(SEEDS)):
+        mine = nodes.select("th", F.col("fps")[k].alias("fp"))
+        stands = mine.groupBy("fp").agg(F.min("th").alias("stand"))
+        same = mine.join(stands, "fp").filter("th <> stand").select(F.col("th").alias("a"), F.col("stand").alias("b"))
+        edges = links(stands.select("fp"))
+        x, y = (stands.select(F.col("fp").alias(c), F.col("stand").alias(f"s{c}")) for c in "ab")
+        found = written(same.unionAll(edges.join(x, "a").join(y, "b").select("sa", "sb")), "pairs")
+        pairs = found if pairs is None else pairs.unionAll(found)
+        del mine, stands, same, edges, x, y
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # so that Spark removes this round's shuffle files before the next
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = (nodes.select(F.col("th").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    roots = components(similar(pairs.join(x, "a").join(y, "b")))
+    place = nodes.join(roots, nodes.th == roots.node, "left").select("th", "first", F.coalesce("root", "th").alias("root"))
+    least = place.groupBy("root").agg(F.min("first").alias("low"))
+    # rows that go: of a group with more rows than one, all but those of its smallest doc_id
+    goes = rows.select("rk", "doc_id", "th").join(place.select("th", "root"), "th").join(least, "root").select("rk", "doc_id", "root", "low")
+    drop = written(goes.filter("low IS NOT NULL AND NOT doc_id <=> low").select(F.col("rk").alias("__tl_drk"), F.col("doc_id").alias("__tl_id")).distinct(), "drop")
+    twice = written(goes.filter("doc_id <=> low").groupBy("root", "doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    # texts are shuffled only where a table of BITS bits, of bounded size, says that they may have to go
+    bit = lambda c: F.pmod(c, F.lit(BITS)).alias("bit")
+    table = drop.select(bit("__tl_drk")).unionAll(goes.join(twice, goes.doc_id.eqNullSafe(twice.doc_id), "left_semi").select(bit("rk")))
+    table = table.groupBy(F.floor(F.col("bit") / 64).alias("__tl_word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("__tl_bits"))
+    held = docs.withColumn("__tl_rk", rk).join(F.broadcast(table), F.floor(F.pmod(rk, F.lit(BITS)) / 64) == F.col("__tl_word"), "left")
+    maybe = F.coalesce(F.expr(f"(shiftright(__tl_bits, cast(pmod(__tl_rk, {BITS}) % 64 as int)) & 1) = 1"), F.lit(False))
+    held = held.withColumn("__tl_maybe", maybe)
+    stay = held.filter(~F.col("__tl_maybe")).select(docs.columns)
+    look = held.filter("__tl_maybe").join(drop, (F.col("__tl_rk") == F.col("__tl_drk")) & F.col("doc_id").eqNullSafe(F.col("__tl_id")), "left_anti")
+    if not twice.isEmpty():
+        ids = twice.select(F.col("doc_id").alias("__tl_id"), F.lit(True).alias("__tl_twice")).distinct()
+        look = look.join(ids, F.col("doc_id").eqNullSafe(F.col("__tl_id")), "left")
+        look = look.filter("__tl_twice IS NULL").select(docs.columns).unionAll(look.filter("__tl_twice").dropDuplicates(["doc_id"]).select(docs.columns))
+    return stay.unionAll(look.select(docs.columns))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
     got = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
