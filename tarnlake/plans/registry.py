@@ -9,7 +9,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational",)
+MODULES = ("relational", "custom")
 
 
 def items() -> dict:
