@@ -15,7 +15,8 @@ own suffixes that agree in the LEAD bytes after that place. About one place in W
    Runs of unequal stretches, and runs at a bucket's edges (which may go on in the next), go to step 4, cut into
    groups of at most GROUP rows.
 4. Groups are compared by the bytes of their stretches, window by window. Windows of a run that is cut into
-   groups, or crosses a boundary, and that their own group leaves single, are counted over all groups.
+   groups, or crosses a boundary, and that their own group leaves single, are looked up over all groups, by
+   buckets of their hash.
 5. The windows found are laid over each text, and what they cover is left out.
 
 Strings are compared by 64-bit hashes of random byte values. Defined results: a null text is empty; a text of
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import chunks, dealt, docs_of, get_bytes, prepare, put_bytes, spread, work_path, written
+from tarnlake.llm.common import chunks, dealt, docs_of, get_bytes, partitions, prepare, put_bytes, spread, work_path, written
 
 SPAN = 200  # bytes of a repeat
 WIN = 160  # starts among which a window chooses its place
@@ -297,14 +298,19 @@ def stretches(members: DataFrame, path: str) -> DataFrame:
     return members.mapInArrow(run, MEMBER)
 
 
-WINDOW = "file long, first int, last int, hash long, state int"
+WINDOW = "file long, first int, last int, bucket int, open binary"
+OPEN = np.dtype([("hash", "<u8"), ("file", "<i8"), ("first", "<i4"), ("single", "u1")])
 
 
-def compare(grouped: DataFrame) -> DataFrame:
-    """Windows of groups, compared in each group. Rows with state 0: the windows from first to last are repeats;
-    1: a window that its group leaves single, of a run with more groups; 2: one that a group of such a run holds anyway.
+def compare(grouped: DataFrame, buckets: int) -> DataFrame:
+    """Windows of groups, compared in each group. Rows without a bucket: the windows from first to last are repeats.
+
+    Rows with one are what groups of runs with more groups hold, packed (OPEN) by buckets of their hash: a window
+    that its group leaves single, or one row for those that it holds repeatedly.
     """
 
+    names = ["file", "first", "last", "bucket", "open"]
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -330,12 +336,20 @@ def compare(grouped: DataFrame) -> DataFrame:
                 new = np.concatenate([[True], (row[i][1:] != row[i][:-1]) | (i[1:] != i[:-1] + 1)])
                 a = i[new]
                 z = i[np.concatenate([new[1:], [True]])]
-                yield pa.RecordBatch.from_arrays([pa.array(file[a]), pa.array(first[a].astype(np.int32)), pa.array(first[z].astype(np.int32)), pa.array(np.zeros(len(a), np.int64)), pa.array(np.zeros(len(a), np.int32))], names=["file", "first", "last", "hash", "state"])
+                yield pa.RecordBatch.from_arrays([pa.array(file[a]), pa.array(first[a].astype(np.int32)), pa.array(first[z].astype(np.int32)), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=names)
             if many.any():
                 once = np.zeros(len(h), bool)
                 once[np.unique(inv, return_index=True)[1]] = True
                 i = np.flatnonzero(many & once)
-                yield pa.RecordBatch.from_arrays([pa.array(file[i]), pa.array(first[i].astype(np.int32)), pa.array(first[i].astype(np.int32)), pa.array(h[i].view(np.int64)), pa.array(np.where(twice[i], 2, 1).astype(np.int32))], names=["file", "first", "last", "hash", "state"])
+                rec = np.zeros(len(i), OPEN)
+                rec["hash"], rec["file"], rec["first"], rec["single"] = h[i], file[i], first[i], ~twice[i]
+                b = (h[i] >> np.uint64(33)).astype(np.int64) % buckets
+                order = np.argsort(b, kind="stable")
+                rec, b = rec[order], b[order]
+                cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
+                packed = [rec[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+                n = len(packed)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(b[cuts[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], names=names)
 
         held: list[tuple] = []
         for b in batches:
@@ -355,6 +369,33 @@ def compare(grouped: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, WINDOW)
 
 
+def over_groups(packed: DataFrame) -> DataFrame:
+    """Of packed windows (bucket, open), sorted by bucket: those single in their group that another group holds."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def settle(held: list[bytes]):
+            rec = np.frombuffer(b"".join(held), OPEN)
+            _, inv, n = np.unique(rec["hash"], return_inverse=True, return_counts=True)
+            hit = rec[(n[inv] > 1) & (rec["single"] > 0)]
+            first = pa.array(hit["first"].astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(hit["file"].astype(np.int64)), first, first], names=["file", "first", "last"])
+
+        now, held = None, []
+        for b in batches:
+            for k, x in zip(b.column("bucket").to_pylist(), b.column("open").to_pylist(), strict=True):
+                if k != now and held:
+                    yield settle(held)
+                    held = []
+                now = k
+                held.append(x)
+        if held:
+            yield settle(held)
+
+    return packed.mapInArrow(run, "file long, first int, last int")
+
+
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
@@ -404,11 +445,11 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     files = store(docs_of(docs).select(F.col("doc_id").cast("long"), "text"), path)
     found = written(scan(dealt(suffixes(spread(files), path), "lead", "key", "full", "file", "place")), "found")
     members = found.filter("gid >= 0")
-    compared = written(compare(stretches(dealt(members.select("file", "first", "last", "gid", "many", "sure"), "file"), path).repartition("gid").sortWithinPartitions("gid")), "windows")
-    shared = compared.filter("state > 0").groupBy("hash").count().filter("count > 1").select("hash")
-    over = compared.filter("state = 1").join(shared, "hash", "left_semi")
+    grouped = stretches(dealt(members.select("file", "first", "last", "gid", "many", "sure"), "file"), path).repartition("gid").sortWithinPartitions("gid")
+    compared = written(compare(grouped, 8 * partitions(spark)), "windows")
+    over = over_groups(compared.filter("bucket IS NOT NULL").select("bucket", "open").repartition("bucket").sortWithinPartitions("bucket"))
     laid = files.select("file", F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-    for x in (found.filter("gid < 0"), compared.filter("state = 0"), over):
+    for x in (found.filter("gid < 0"), compared.filter("bucket IS NULL"), over):
         laid = laid.unionAll(x.select("file", "first", "last"))
     return cut_out(dealt(laid, "file"), path, texts)
 
