@@ -9,7 +9,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "custom")
+MODULES = ("relational", "custom", "statistics")
 
 
 def items() -> dict:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,14 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 def cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", "8"))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), or, where unset, in a temporary one."""
+    d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not d:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        d = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="tarnlake-")
+        if not held.isDefined():
+            spark.sparkContext.setCheckpointDir(d)
+    return f"{d.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
