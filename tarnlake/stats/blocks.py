@@ -68,7 +68,7 @@ def key_column(df: DataFrame, c: str, x: Column) -> tuple[Column, bool]:
     if t == "date":
         return F.unix_date(x).cast("long"), True
     if t in ("string", "binary", "decimal"):
-        return F.xxhash64(x.cast("string")), False
+        return F.when(x.isNotNull(), F.xxhash64(x.cast("string"))), False  # of null, the hash is a number
     return (x.cast("double") if t in ("float", "double") else x.cast("long")), True
 
 
