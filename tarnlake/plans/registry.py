@@ -1,6 +1,6 @@
 """All registered queries of the library, with their oracle SQL.
 
-A query module has ITEMS: name -> (function of (spark, sf_dir), DuckDB SQL or None).
+A query module has ITEMS: name -> (function of (spark, sf_dir), oracle SQL or None).
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "custom", "statistics", "functions")
+MODULES = ("relational", "custom", "statistics", "functions", "sources")
 
 
 def items() -> dict:

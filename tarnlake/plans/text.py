@@ -1,4 +1,4 @@
-"""Items whose query is SQL text: the Spark text, and DuckDB's where it differs."""
+"""Items whose query is SQL text: the Spark text, and the oracle's where it differs."""
 
 from __future__ import annotations
 
