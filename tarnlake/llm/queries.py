@@ -1,4 +1,4 @@
-"""The queries of this package, and the DuckDB SQL of those that SQL can express."""
+"""The queries of this package, and the oracle SQL of those that SQL can express."""
 
 from __future__ import annotations
 
