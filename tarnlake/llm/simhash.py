@@ -214,9 +214,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     same = mine.join(stands, "fp").filter("th <> stand").select(F.col("th").alias("a"), F.col("stand").alias("b"))
     x, y = (stands.select(F.col("fp").alias(c), F.col("stand").alias(f"s{c}")) for c in "ab")
     pairs = same.unionAll(links(stands.select("fp")).join(x, "a").join(y, "b").select("sa", "sb")).filter("a <> b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x, y = (nodes.select(F.col("th").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    roots = components(similar(pairs.join(x, "a").join(y, "b")))
+    pairs = pairs.select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two")).distinct()
+    x, y = (nodes.select(F.col("th").alias(c), F.col("sketch").alias(f"s{c}")) for c in ("one", "two"))
+    met = pairs.join(x, "one").join(y, "two").select(F.col("one").alias("a"), F.col("two").alias("b"), F.col("sone").alias("sa"), F.col("stwo").alias("sb"))
+    roots = components(similar(met))
     place = nodes.join(roots, nodes.th == roots.node, "left").select("th", "first", F.coalesce("root", "th").alias("root"))
     least = place.groupBy("root").agg(F.min("first").alias("low"))
     # rows that go: of a group with more rows than one, all but those of its smallest doc_id
