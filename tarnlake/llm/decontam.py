@@ -52,7 +52,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Da
     vocabulary = grams.select(F.explode("gram").alias("word")).distinct()
     counts = word_counts(docs, vocabulary, small)
     # the rarest word of each window, and its first place there; a word that no document has ends the search for it
-    placed = grams.select("gram", "items", F.posexplode("gram").alias("place", "word")).join(counts, "word", "left")
+    placed = grams.select("gram", "items", F.posexplode("gram").alias("place", "word")).join(F.broadcast(counts) if small else counts, "word", "left")
     rank = F.struct(F.coalesce("count", F.lit(0)).alias("count"), "word", "place")
     rare = placed.groupBy("gram").agg(F.min(rank).alias("r"), F.first("items").alias("items")).filter("r.count > 0")
     rare = rare.select(F.col("r.word").alias("word"), F.col("r.place").alias("place"), "gram", "items", F.size("gram").alias("n"))
