@@ -9,7 +9,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "custom", "statistics", "functions", "sources")
+MODULES = ("relational", "custom", "statistics", "functions", "sources", "catalog")
 
 
 def items() -> dict:
