@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,11 +27,22 @@ def session(app: str = "tarnlake", master: str | None = None, **conf: str) -> Sp
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_workers(spark)
     return spark
 
 
+def ensure_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it (on a cluster ship it with --py-files too)."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    held = env.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, held)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data directory; a file or a folder of Parquet files."""
+    ensure_workers(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
