@@ -12,11 +12,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.session import ensure_workers
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keeps Arrow batches small in rows and bytes, so that long texts fit Python workers."""
+    """Keeps Arrow batches small in rows and bytes, so that long texts fit Python workers, which can import this package."""
+    ensure_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
