@@ -2,8 +2,9 @@
 
 Coarse centroids and codebooks are fitted on the driver on at most SAMPLE vectors (those of the smallest hashes
 of their ids); every vector is indexed. A vector belongs to the list of its nearest centroid, and its residual
-is kept as one byte a subspace. A query visits the PROBES lists whose centroids have the largest inner product
-with it; there its asymmetric distance tables score all codes, and the best RERANK of them are scored exactly,
+is kept as one byte a subspace. A query visits the lists whose centroids have the largest inner product
+with it, as many as hold COVER of the nearest of TRIED sampled vectors in the sample (few where vectors form
+clusters, most lists where they do not); there its asymmetric distance tables score all codes, and the best RERANK of them are scored exactly,
 in double precision on the original vectors, which lie beside the codes.
 
 Lists are cut into blocks of about BLOCK vectors, each with the queries that visit its list, so that a list of
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 from tarnlake.llm.common import prepare, written
 
 SAMPLE = 16_000
-LIST = 256  # vectors a list, about
+LIST = 1024  # vectors a list, about
 MOST_LISTS = 4096
 SUBSPACES = 16
-PROBES = 32
-RERANK = 96  # of each block and query
-BLOCK = 512
+RERANK = 256  # of each block and query: near-identical vectors share codes, and only exact scores tell them apart
+BLOCK = 1024
+TRIED = 256  # vectors of the sample on which the number of probes is set
+COVER = 0.97  # share of their nearest in the sample that the probed lists are to hold
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
@@ -56,6 +58,7 @@ class Index:
     coarse: np.ndarray
     books: np.ndarray
     dims: int
+    wide: int = 1  # lists that a query visits
 
     @classmethod
     def fit(cls, x: np.ndarray, total: int, lists: int | None = None, seed: int = 9) -> Index:
@@ -71,7 +74,24 @@ class Index:
             b = kmeans(rest[:, m * width : (m + 1) * width], min(256, len(x)), 8, rng)
             books[m, : len(b)] = b
             books[m, len(b) :] = b[0]
-        return cls(coarse, books, dims)
+        index = cls(coarse, books, dims)
+        index.wide = index.tuned(x[:TRIED], x)
+        return index
+
+    def tuned(self, q: np.ndarray, x: np.ndarray, k: int = 20) -> int:
+        """The fewest lists to visit that hold COVER of the k nearest of q in x. A sample is sparser than all
+        vectors, so its nearest lie farther away, and the number errs to the safe side."""
+        s = q @ x.T
+        s[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        k = min(k, len(x) - 1)
+        if k < 1:
+            return len(self.coarse)
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        order = np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
+        at = np.take_along_axis(place, nearest(x, self.coarse)[near], 1)
+        return int(np.ceil(np.quantile(at, COVER))) + 1
 
     def pad(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x.astype(np.float32), ((0, 0), (0, self.coarse.shape[1] - x.shape[1])))
@@ -138,7 +158,7 @@ def build(vectors: DataFrame, lists: int | None = None) -> tuple[Index | None, D
     return index, table, sizes
 
 
-def search(index: Index, table: DataFrame, sizes: dict[int, int], queries: DataFrame, k: int = 20, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
+def search(index: Index, table: DataFrame, sizes: dict[int, int], queries: DataFrame, k: int = 20, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
     """The k nearest of each query (query_id, v) but those of its own id: query_id, rank, vec_id, score."""
     spark = table.sparkSession
     blocks = {x: -(-n // BLOCK) for x, n in sizes.items()}
@@ -156,7 +176,7 @@ def search(index: Index, table: DataFrame, sizes: dict[int, int], queries: DataF
         for b in batches:
             if not b.num_rows:
                 continue
-            to = index.probes(matrix(b.column("v"), index.dims), probes)
+            to = index.probes(matrix(b.column("v"), index.dims), probes or index.wide)
             pairs = [(r, base[x] + j, x) for r, row in enumerate(to.tolist()) for x in row if x in base for j in range(blocks[x])]
             for a in range(0, len(pairs), 10_000):
                 r, gid, at = (np.array(c, np.int32) for c in zip(*pairs[a : a + 10_000], strict=True))
@@ -179,7 +199,8 @@ def search(index: Index, table: DataFrame, sizes: dict[int, int], queries: DataF
             approx[qid[:, None] == ids[None, :]] = -np.inf
             n = min(rerank, len(ids))
             pick = np.argpartition(-approx, n - 1, axis=1)[:, :n]
-            exact = np.einsum("qnd,qd->qn", v[pick], q)
+            rows, inv = np.unique(pick, return_inverse=True)  # what any query of the batch picked, by one product
+            exact = np.take_along_axis(q @ v[rows].T, inv.reshape(pick.shape), 1)
             own = ids[pick]
             exact[own == qid[:, None]] = -np.inf
             order = np.lexsort((own, -exact), axis=1)[:, :k]
