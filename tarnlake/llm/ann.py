@@ -31,6 +31,7 @@ MOST_LISTS = 4096
 SUBSPACES = 16
 RERANK = 256  # of each block and query: near-identical vectors share codes, and only exact scores tell them apart
 BLOCK = 1024
+HELD = 400_000  # answers that a task gathers before it sends them on
 TRIED = 256  # vectors of the sample on which the number of probes is set
 COVER = 0.97  # share of their nearest in the sample that the probed lists are to hold
 
@@ -207,17 +208,40 @@ def search(index: Index, table: DataFrame, sizes: dict[int, int], queries: DataF
             own, exact = np.take_along_axis(own, order, 1), np.take_along_axis(exact, order, 1)
             keep = np.isfinite(exact)
             who = np.repeat(qid[:, None], own.shape[1], axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(who[keep]), pa.array(own[keep]), pa.array(exact[keep])], names=["query_id", "vec_id", "score"])
+            return who[keep], own[keep], exact[keep]
+
+        def best(parts: list[tuple]) -> tuple:
+            """Of all answers so far, the k best of each query."""
+            who, own, exact = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((own, -exact, who))
+            who, own, exact = who[order], own[order], exact[order]
+            new = np.ones(len(who), bool)
+            new[1:] = who[1:] != who[:-1]
+            at = np.flatnonzero(new)
+            keep = np.arange(len(who)) - np.repeat(at, np.diff([*at, len(who)])) < k
+            return who[keep], own[keep], exact[keep]
+
+        def batch(part: tuple):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in part], names=["query_id", "vec_id", "score"])
 
         gid, ids, v, codes, waiting = None, [], [], [], []
+        parts, held = [], 0
 
         def flush():
-            nonlocal waiting
+            """Answers are combined over the task's blocks, and go out when HELD of them have gathered."""
+            nonlocal waiting, parts, held
             if ids and waiting:
                 a, b, c = np.concatenate(ids), np.concatenate(v), np.concatenate(codes)
                 qid, q = (np.concatenate([w[j] for w in waiting]) for j in (0, 1))
                 for s in range(0, len(qid), 128):
-                    yield settle(a, b, c, waiting[0][2], qid[s : s + 128], q[s : s + 128])
+                    parts.append(settle(a, b, c, waiting[0][2], qid[s : s + 128], q[s : s + 128]))
+                    held += len(parts[-1][0])
+                if held > HELD:
+                    parts = [best(parts)]
+                    held = len(parts[0][0])
+                    if held > HELD // 2:
+                        yield batch(parts[0])
+                        parts, held = [], 0
             waiting = []
 
         for b in batches:
@@ -240,6 +264,8 @@ def search(index: Index, table: DataFrame, sizes: dict[int, int], queries: DataF
                 if n < len(ask):
                     waiting.append((own[n:], vectors[n:], s.column("list")[0].as_py()))
         yield from flush()
+        if parts:
+            yield batch(best(parts))
 
     found = met.mapInArrow(answer, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
