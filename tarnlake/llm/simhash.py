@@ -223,10 +223,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # rows that go: of a group with more rows than one, all but those of its smallest doc_id
     goes = rows.select("rk", "doc_id", "th").join(place.select("th", "root"), "th").join(least, "root").select("rk", "doc_id", "root", "low")
     drop = written(goes.filter("low IS NOT NULL AND NOT doc_id <=> low").select(F.col("rk").alias("__tl_drk"), F.col("doc_id").alias("__tl_id")).distinct(), "drop")
-    twice = written(goes.filter("doc_id <=> low").groupBy("root", "doc_id").count().filter("count > 1").select("doc_id"), "twice")
+    low = goes.filter("doc_id <=> low").groupBy("root", "doc_id", "rk").count()
+    more = Window.partitionBy("root", "doc_id")  # an id may repeat in other groups, whose rows are not these
+    twice = written(low.withColumn("n", F.sum("count").over(more)).filter("n > 1").select(F.col("rk").alias("__tl_trk"), F.col("doc_id").alias("__tl_id"), F.col("root").alias("__tl_root")), "twice")
     # texts are shuffled only where a table of BITS bits, of bounded size, says that they may have to go
     bit = lambda c: F.pmod(c, F.lit(BITS)).alias("bit")
-    table = drop.select(bit("__tl_drk")).unionAll(goes.join(twice, goes.doc_id.eqNullSafe(twice.doc_id), "left_semi").select(bit("rk")))
+    table = drop.select(bit("__tl_drk")).unionAll(twice.select(bit("__tl_trk")))
     table = table.groupBy(F.floor(F.col("bit") / 64).alias("__tl_word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("__tl_bits"))
     held = docs.withColumn("__tl_rk", rk).join(F.broadcast(table), F.floor(F.pmod(rk, F.lit(BITS)) / 64) == F.col("__tl_word"), "left")
     maybe = F.coalesce(F.expr(f"(shiftright(__tl_bits, cast(pmod(__tl_rk, {BITS}) % 64 as int)) & 1) = 1"), F.lit(False))
@@ -234,9 +236,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stay = held.filter(~F.col("__tl_maybe")).select(docs.columns)
     look = held.filter("__tl_maybe").join(drop, (F.col("__tl_rk") == F.col("__tl_drk")) & F.col("doc_id").eqNullSafe(F.col("__tl_id")), "left_anti")
     if not twice.isEmpty():
-        ids = twice.select(F.col("doc_id").alias("__tl_id"), F.lit(True).alias("__tl_twice")).distinct()
-        look = look.join(ids, F.col("doc_id").eqNullSafe(F.col("__tl_id")), "left")
-        look = look.filter("__tl_twice IS NULL").select(docs.columns).unionAll(look.filter("__tl_twice").dropDuplicates(["doc_id"]).select(docs.columns))
+        look = look.join(twice, (F.col("__tl_rk") == F.col("__tl_trk")) & F.col("doc_id").eqNullSafe(F.col("__tl_id")), "left")
+        look = look.filter("__tl_root IS NULL").select(docs.columns).unionAll(look.filter("__tl_root IS NOT NULL").dropDuplicates(["__tl_root", "doc_id"]).select(docs.columns))
     return stay.unionAll(look.select(docs.columns))
 
 
