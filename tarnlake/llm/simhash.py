@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +56,6 @@ TWOS = [1 << a | 1 << b for half in HALVES for a, b in combinations(half, 2)]
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """Of one text in UTF-8; see fingerprints."""
-    import numpy as np
     import xxhash
 
     words = text.lower().split()
@@ -79,7 +79,6 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for b in batches:
@@ -134,29 +133,76 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 SEEDS = (42, 43, 44, 45)
 LEAST = 4  # bytes of a word that counts in keep_one's fingerprints: shorter ones are alike in all texts of a language
 SHINGLE = 5
-SKETCH = 256
-SIMILAR = 0.8
+ALIKE = (4, 5)  # texts are alike if the similarity of their sets of shingles is this fraction or more
 BITS = 1 << 23
+COMMON_DOCS = 20_000  # texts, about, of which common shingles are learnt; they say which shingles go last, and change no result
+MOST_COMMON = 200_000
+PARITY = 16  # longs of parities of a text's shingles: sets of few differences differ in no more of these bits
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """The distinct 64-bit hashes, in order, of a text's runs of SHINGLE words; of fewer words, that of all."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
+    if len(words) <= SHINGLE:
+        return np.array([h(joined)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-SHINGLE]]).tolist()
+    return np.unique(np.array([h(joined[a:z]) for a, z in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Those of the shingles s of which a text shares one with every text alike: all but as many as it must share, and
+    one more, in an order that is the same for all texts (rare ones first)."""
+    need = -(-ALIKE[0] * len(s) // ALIKE[1])
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        s = s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))]
+    return s[: len(s) - need + 1]
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether the shingles s with each remainder by 64 * PARITY are odd in number, as PARITY longs."""
+    odd = np.bincount((s % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that three or more of about COMMON_DOCS distinct texts of docs (rk, text) hold, and how many do."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for t in texts(b):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.lower().split()).view(np.int64))], names=["key"])
+
+    some = docs.filter(F.pmod("rk", F.lit(max(1, docs.count() // COMMON_DOCS))) == 0).dropDuplicates(["rk"])
+    found = some.select("text").mapInArrow(run, "key long").groupBy("key").count().filter("count > 2")
+    got = found.orderBy(F.desc("count"), "key").limit(MOST_COMMON).toArrow()
+    key, n = got.column("key").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """Of docs (rk, doc_id, text): th, a hash of the words; a fingerprint for each of SEEDS of the words of LEAST or
-    more bytes; and the SKETCH smallest 32-bit hashes of the shingles, of which similarity is told (exactly, for
-    texts of up to SKETCH shingles).
+    more bytes; the number of distinct shingles, those of their prefix, and parities of all.
     """
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs.select("rk", "text")))
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
         import xxhash
 
         h = xxhash.xxh64_intdigest
         for b in batches:
-            th, fps, kept = [], [], []
+            th, fps, n, keys, odd = [], [], [], [], []
             for t in texts(b):
                 words = t.lower().split()
-                joined = b" ".join(words)
-                th.append(signed(h(joined)))
+                th.append(signed(h(b" ".join(words))))
                 long = [w for w in words if len(w) >= LEAST] or words
                 own = []
                 for seed in SEEDS:
@@ -166,59 +212,120 @@ def sketches(docs: DataFrame) -> DataFrame:
                         count += np.unpackbits(x[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
                     own.append(int(np.packbits(count * 2 > len(x), bitorder="little").view(np.int64)[0]))
                 fps.append(own)
-                if len(words) > SHINGLE:
-                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                    starts = np.concatenate([[0], ends[:-SHINGLE]]).tolist()
-                    s = np.array([h(joined[a:z]) for a, z in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64)
-                else:
-                    s = np.array([h(joined)], np.uint64)
-                kept.append(np.unique((s >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("doc_id"), pa.array(th, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["rk", "doc_id", "th", "fps", "sketch"])
+                s = shingles(words)
+                n.append(len(s))
+                keys.append(prefix(s, *common.value).view(np.int64))
+                odd.append(parities(s))
+            yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("doc_id"), pa.array(th, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["rk", "doc_id", "th", "fps", "n", "keys", "odd"])
+
+    return docs.mapInArrow(run, "rk long, doc_id long, th long, fps array<long>, n int, keys array<long>, odd array<long>")
+
 
-    return docs.mapInArrow(run, "rk long, doc_id long, th long, fps array<long>, sketch binary")
+def bit_table(rks: DataFrame) -> DataFrame:
+    """A table of BITS bits, of bounded size, of those that stand for hashes rk."""
+    bits = rks.select(F.pmod("rk", F.lit(BITS)).alias("bit"))
+    return bits.groupBy(F.floor(F.col("bit") / 64).alias("__tl_word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("__tl_bits"))
 
 
-def similar(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b, sa, sb: sketches), those whose similarity is SIMILAR or more."""
+def marked(df: DataFrame, rk: str, table: DataFrame) -> DataFrame:
+    """df with __tl_maybe: whether the bit of its hash rk is set in table, as it is for all hashes that made it."""
+    held = df.join(F.broadcast(table), F.floor(F.pmod(rk, F.lit(BITS)) / 64) == F.col("__tl_word"), "left")
+    return held.withColumn("__tl_maybe", F.coalesce(F.expr(f"(shiftright(__tl_bits, cast(pmod({rk}, {BITS}) % 64 as int)) & 1) = 1"), F.lit(False)))
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of nodes (th, rk), those whose texts in docs (rk, text) are alike, told of all their shingles."""
+
+    def whole(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("rk"), pa.array([shingles(t.lower().split()).tobytes() for t in texts(b)], pa.binary())], names=["rk", "s"])
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for b in batches:
             keep = []
             for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                both = np.union1d(x, y)[:SKETCH]  # the smallest of the union
-                shared = np.intersect1d(x, y, assume_unique=True)
-                keep.append(np.count_nonzero(shared <= both[-1]) >= SIMILAR * len(both))
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both * ALIKE[1] >= ALIKE[0] * (len(x) + len(y) - both))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    pairs = written(pairs, "pairs")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+    need = written(nodes.join(need, "th", "left_semi").select("th", "rk"), "need")
+    texts_of = marked(docs, "rk", bit_table(need)).filter("__tl_maybe").select("rk", "text").dropDuplicates(["rk"])
+    sets = written(texts_of.mapInArrow(whole, "rk long, s binary").join(need, "rk").select("th", "s"), "sets")
+    x, y = (sets.select(F.col("th").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "alike")
+
+
+def proposed(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by linked fingerprints, at most one a node and seed; what they leave apart, later pairs join."""
+    # fingerprints of different seeds are as far apart as any two by chance, so all go through one search
+    mine = nodes.select("th", F.explode("fps").alias("fp"))
+    stands = written(mine.groupBy("fp").agg(F.min("th").alias("stand")), "stands")
+    same = mine.join(stands, "fp").filter("th <> stand").select(F.col("th").alias("a"), F.col("stand").alias("b"))
+    edges = links(stands.select("fp")).groupBy("a").agg(F.min("b").alias("b"))
+    x, y = (stands.select(F.col("fp").alias(c), F.col("stand").alias(f"s{c}")) for c in "ab")
+    return same.unionAll(edges.join(x, "a").join(y, "b").select("sa", "sb"))
+
+
+def apart(met: DataFrame, place: DataFrame) -> DataFrame:
+    """All pairs (a, b) that share a key of met (key, th, n, pos), are of different groups of place (th, root, odd), and
+    can be alike by the numbers of their shingles, the places of that key, and the parities that differ."""
+    rows = met.join(place.select("th", "root"), "th")
+    w = Window.partitionBy("key")
+    rows = rows.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).filter("low <> high")
+    rows = written(rows.select("key", "th", "root", "n", "pos").join(place.select("th", "odd"), "th"), "apart")
+    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("th", "root", "n", "pos", "odd"))) for s in "ab")
+    p, q = ALIKE
+    differ = " + ".join(f"bit_count(odd_a[{k}] ^ odd_b[{k}])" for k in range(PARITY))
+    can = f"{q} * least(n_a, n_b) >= {p} * greatest(n_a, n_b) AND {p + q} * (least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b)) >= {p} * (n_a + n_b)"
+    can += f" AND {p + q} * ({differ}) <= {q - p} * (n_a + n_b)"
+    return x.join(y, "key").filter(f"th_a < th_b AND root_a <> root_b AND {can}").select(F.col("th_a").alias("a"), F.col("th_b").alias("b")).distinct()
+
+
+def groups(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(th, first, root) of nodes (th, first, rk, fps, n, keys, odd): the components of all pairs of texts that are alike.
+
+    Alike texts share a shingle of their prefixes, so the pairs that share one are all there can be. Most need not
+    be compared: each node is first compared with the one under its keys whose own keys are shared most (a base
+    of edited copies keeps all keys that they have), and with what fingerprints propose. Of the pairs left, those
+    that lie in one group by then change nothing; all others are compared.
+    """
+    keys = nodes.select("th", "n", F.size("keys").alias("p"), F.posexplode("keys").alias("pos", "key"))
+    met = keys.withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1")
+    met = written(met, "met")
+    share = met.groupBy("th").agg((F.sum(F.log("many")) / F.first("p")).alias("share"))
+    hub = F.max(F.struct("share", "th")).over(Window.partitionBy("key"))
+    hubs = met.select("key", "th").join(share, "th").select("th", hub.alias("hub")).filter("hub.th <> th").groupBy("th").agg(F.max("hub").alias("hub"))
+    pairs = proposed(nodes).unionAll(hubs.select("th", "hub.th")).filter("a <> b")
+    alike = similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, docs)
+
+    def placed(alike: DataFrame) -> DataFrame:
+        roots = components(alike)
+        return nodes.join(roots, nodes.th == roots.node, "left").select("th", "first", "odd", F.coalesce("root", "th").alias("root"))
+
+    rest = similar(apart(met, placed(alike)), nodes, docs)
+    return placed(alike.unionAll(rest))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the smallest doc_id (null last); all columns stay.
 
-    Linked fingerprints of any of SEEDS propose pairs, and those of a similarity of SIMILAR on shingles of SHINGLE
-    words make the groups. Null texts are empty, and alike. Of rows that repeat a doc_id and its text, one stays.
+    Groups are the components of all pairs of texts whose sets of shingles of SHINGLE words are alike (see groups).
+    Null texts are empty, and alike. Of rows that repeat a doc_id within a group, one stays.
     """
     spark = docs.sparkSession
     prepare(spark)
     rk = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = written(sketches(docs.select(rk.alias("rk"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))), "sketches")
-    nodes = written(rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "nodes")
-    # fingerprints of different seeds are as far apart as any two by chance, so all go through one search
-    mine = nodes.select("th", F.explode("fps").alias("fp"))
-    stands = written(mine.groupBy("fp").agg(F.min("th").alias("stand")), "stands")
-    same = mine.join(stands, "fp").filter("th <> stand").select(F.col("th").alias("a"), F.col("stand").alias("b"))
-    x, y = (stands.select(F.col("fp").alias(c), F.col("stand").alias(f"s{c}")) for c in "ab")
-    pairs = same.unionAll(links(stands.select("fp")).join(x, "a").join(y, "b").select("sa", "sb")).filter("a <> b")
-    pairs = pairs.select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two")).distinct()
-    x, y = (nodes.select(F.col("th").alias(c), F.col("sketch").alias(f"s{c}")) for c in ("one", "two"))
-    met = pairs.join(x, "one").join(y, "two").select(F.col("one").alias("a"), F.col("two").alias("b"), F.col("sone").alias("sa"), F.col("stwo").alias("sb"))
-    roots = components(similar(met))
-    place = nodes.join(roots, nodes.th == roots.node, "left").select("th", "first", F.coalesce("root", "th").alias("root"))
+    plain = docs.select(rk.alias("rk"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = written(sketches(plain), "sketches")
+    nodes = written(rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.min("rk").alias("rk"), F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd")), "nodes")
+    place = groups(nodes, plain)
     least = place.groupBy("root").agg(F.min("first").alias("low"))
     # rows that go: of a group with more rows than one, all but those of its smallest doc_id
     goes = rows.select("rk", "doc_id", "th").join(place.select("th", "root"), "th").join(least, "root").select("rk", "doc_id", "root", "low")
@@ -226,13 +333,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     low = goes.filter("doc_id <=> low").groupBy("root", "doc_id", "rk").count()
     more = Window.partitionBy("root", "doc_id")  # an id may repeat in other groups, whose rows are not these
     twice = written(low.withColumn("n", F.sum("count").over(more)).filter("n > 1").select(F.col("rk").alias("__tl_trk"), F.col("doc_id").alias("__tl_id"), F.col("root").alias("__tl_root")), "twice")
-    # texts are shuffled only where a table of BITS bits, of bounded size, says that they may have to go
-    bit = lambda c: F.pmod(c, F.lit(BITS)).alias("bit")
-    table = drop.select(bit("__tl_drk")).unionAll(twice.select(bit("__tl_trk")))
-    table = table.groupBy(F.floor(F.col("bit") / 64).alias("__tl_word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("__tl_bits"))
-    held = docs.withColumn("__tl_rk", rk).join(F.broadcast(table), F.floor(F.pmod(rk, F.lit(BITS)) / 64) == F.col("__tl_word"), "left")
-    maybe = F.coalesce(F.expr(f"(shiftright(__tl_bits, cast(pmod(__tl_rk, {BITS}) % 64 as int)) & 1) = 1"), F.lit(False))
-    held = held.withColumn("__tl_maybe", maybe)
+    # texts are shuffled only where a table of bits says that they may have to go
+    table = bit_table(drop.select(F.col("__tl_drk").alias("rk")).unionAll(twice.select("__tl_trk")))
+    held = marked(docs.withColumn("__tl_rk", rk), "__tl_rk", table)
     stay = held.filter(~F.col("__tl_maybe")).select(docs.columns)
     look = held.filter("__tl_maybe").join(drop, (F.col("__tl_rk") == F.col("__tl_drk")) & F.col("doc_id").eqNullSafe(F.col("__tl_id")), "left_anti")
     if not twice.isEmpty():

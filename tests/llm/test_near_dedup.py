@@ -1,5 +1,7 @@
 """keep_one: rows that repeat an id, large groups and pairs near the threshold, against brute force."""
 
+import random
+
 from tarnlake.llm import simhash
 
 COLUMNS = "doc_id long, text string, n_chars long"
@@ -12,3 +14,52 @@ def test_repeated_ids_go_only_within_their_group(spark):
     key = lambda r: str(r)
     want = [(None, ""), (None, "one text of a null id"), (None, "another text with no id at all"), (7, "alpha beta gamma"), (7, "quite other words here")]
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def brute(texts, n=5):
+    """For each text the smallest index of its component, over all pairs of similarity 4/5 or more."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({" ".join(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) > n else {" ".join(w)})
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if both * 5 >= 4 * (len(a) + len(b) - both):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+def prose(rng, n):
+    return ["".join(rng.choice(["an", "er", "st", "ou", "ti", "re", "lo", "ka"]) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+
+
+def check(spark, texts):
+    rows = [(i, t, len(t)) for i, t in enumerate(texts)]
+    got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, COLUMNS)).collect())
+    assert got == sorted(set(brute(texts)))
+
+
+def test_large_groups_that_meet_only_at_their_base(spark):
+    rng = random.Random(3)
+    texts = []
+    for size in (12, 60, 150):
+        base = prose(rng, 200)
+        copies = []
+        for _ in range(size):
+            v = list(base)
+            for _ in range(rng.randint(3, 4)):  # alike to the base, most not to each other
+                v[rng.randrange(len(v))] = f"edit{rng.randrange(10**9)}"
+            copies.append(" ".join(v))
+        copies.insert(rng.randrange(size), " ".join(base))
+        texts += copies
+    rng.shuffle(texts)
+    check(spark, texts)
