@@ -63,3 +63,20 @@ def test_large_groups_that_meet_only_at_their_base(spark):
         texts += copies
     rng.shuffle(texts)
     check(spark, texts)
+
+
+def test_appended_passages_and_scattered_edits_near_the_threshold(spark):
+    rng = random.Random(4)
+    line = prose(rng, 25)
+    texts = []
+    for k in range(120):
+        n = rng.choice([9, 40, 120, 400, 1500])
+        w = prose(rng, n) + line * (k % 3 == 0)
+        v = list(w)
+        if k % 2:
+            v += prose(rng, round(len(w) * rng.uniform(0.15, 0.3)))
+        else:
+            for _ in range(max(1, round(len(w) * rng.uniform(0.01, 0.03)))):
+                v[rng.randrange(len(v))] = "edited"
+        texts += [" ".join(w), " ".join(v)]
+    check(spark, texts)
