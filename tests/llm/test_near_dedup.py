@@ -80,3 +80,13 @@ def test_appended_passages_and_scattered_edits_near_the_threshold(spark):
                 v[rng.randrange(len(v))] = "edited"
         texts += [" ".join(w), " ".join(v)]
     check(spark, texts)
+
+
+def test_similarity_is_exact_at_the_threshold(spark):
+    rng = random.Random(6)
+    texts = []
+    for k in range(60):  # of 1000 shingles and 250 or 251 more: a similarity of 0.8 or just less
+        w = [f"w{rng.randrange(10**12)}" for _ in range(1004 + 250 + k % 2)]
+        texts += [" ".join(w[:1004]), " ".join(w)]
+    assert len(set(brute(texts))) == 90
+    check(spark, texts)
