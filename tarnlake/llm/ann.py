@@ -4,8 +4,9 @@ Coarse centroids and codebooks are fitted on the driver on at most SAMPLE vector
 of their ids); every vector is indexed. A vector belongs to the list of its nearest centroid, and its residual
 is kept as one byte a subspace. A query visits the lists whose centroids have the largest inner product
 with it, as many as hold COVER of the nearest of TRIED sampled vectors in the sample (few where vectors form
-clusters, most lists where they do not); there its asymmetric distance tables score all codes, and the best RERANK of them are scored exactly,
-in double precision on the original vectors, which lie beside the codes.
+clusters, most lists where they do not); there its asymmetric distance tables score all codes. Scored exactly, in
+double precision on the original vectors, which lie beside the codes, are the best RERANK of a block and whatever
+else may be among its nearest by the quantisation error of its codes: vectors of equal codes go together.
 
 Lists are cut into blocks of about BLOCK vectors, each with the queries that visit its list, so that a list of
 a third of all vectors is many groups, and no group grows with the input. Defined results: vectors that are null, empty, zero, of
@@ -29,7 +30,7 @@ SAMPLE = 16_000
 LIST = 1024  # vectors a list, about
 MOST_LISTS = 4096
 SUBSPACES = 16
-RERANK = 256  # of each block and query: near-identical vectors share codes, and only exact scores tell them apart
+RERANK = 256  # of each block and query at least; and all that quantisation leaves undecided
 BLOCK = 1024
 HELD = 400_000  # answers that a task gathers before it sends them on
 TRIED = 256  # vectors of the sample on which the number of probes is set
@@ -192,23 +193,37 @@ def search(index: Index, table: DataFrame, sizes: dict[int, int], queries: DataF
 
         index = sent.value[0]
 
-        def settle(ids, v, codes, at, qid, q):
+        def off(v, codes, at):
+            """How far each vector may lie from what its codes say, with room for rounding in single precision."""
+            x = index.pad(v)
+            said = np.concatenate([index.books[m][codes[:, m]] for m in range(SUBSPACES)], axis=1)
+            far = np.linalg.norm((x - index.coarse[at] - said).astype(float), axis=1)
+            return far + 1e-5 * (np.linalg.norm(v, axis=1) + np.linalg.norm(index.coarse[at].astype(float)))
+
+        def settle(ids, v, codes, at, err, qid, q):
             books = index.tables(q)
             approx = np.repeat((index.pad(q) @ index.coarse[at])[:, None], len(ids), axis=1)
             for m in range(SUBSPACES):
                 approx += books[:, m, :][:, codes[:, m]]
-            approx[qid[:, None] == ids[None, :]] = -np.inf
-            n = min(rerank, len(ids))
-            pick = np.argpartition(-approx, n - 1, axis=1)[:, :n]
-            rows, inv = np.unique(pick, return_inverse=True)  # what any query of the batch picked, by one product
-            exact = np.take_along_axis(q @ v[rows].T, inv.reshape(pick.shape), 1)
-            own = ids[pick]
-            exact[own == qid[:, None]] = -np.inf
-            order = np.lexsort((own, -exact), axis=1)[:, :k]
-            own, exact = np.take_along_axis(own, order, 1), np.take_along_axis(exact, order, 1)
-            keep = np.isfinite(exact)
-            who = np.repeat(qid[:, None], own.shape[1], axis=1)
-            return who[keep], own[keep], exact[keep]
+            same = qid[:, None] == ids[None, :]
+            approx[same] = -np.inf
+            n, most = min(rerank, len(ids)), min(k, len(ids))
+            room = np.linalg.norm(q, axis=1)[:, None] * err[None, :]
+            cut = np.partition(approx, len(ids) - n, axis=1)[:, [len(ids) - n]]
+            sure = np.partition(approx - room, len(ids) - most, axis=1)[:, [len(ids) - most]]  # k vectors score this at least
+            pick = ((approx >= cut) | (approx + room >= sure)) & ~same
+            rows = np.flatnonzero(pick.any(axis=0))  # what any query of the batch picked, by one product
+            exact = np.where(pick[:, rows], q @ v[rows].T, -np.inf)
+            most = min(k, len(rows))
+            if not most:
+                return qid[:0], ids[:0], np.zeros(0)
+            least = np.partition(exact, len(rows) - most, axis=1)[:, [len(rows) - most]]
+            slack = 1e-12 * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v[rows], axis=1)[None, :]
+            i, j = np.nonzero((exact >= least - slack) & pick[:, rows])
+            j = rows[j]
+            # a product's last bits depend on where in the block a vector lies; ties are told by sums that do not
+            score = np.concatenate([(q[i[s : s + 32768]] * v[j[s : s + 32768]]).sum(axis=1) for s in range(0, len(i), 32768)])
+            return best([(qid[i], ids[j], score)])
 
         def best(parts: list[tuple]) -> tuple:
             """Of all answers so far, the k best of each query."""
@@ -233,8 +248,9 @@ def search(index: Index, table: DataFrame, sizes: dict[int, int], queries: DataF
             if ids and waiting:
                 a, b, c = np.concatenate(ids), np.concatenate(v), np.concatenate(codes)
                 qid, q = (np.concatenate([w[j] for w in waiting]) for j in (0, 1))
+                err = off(b, c, waiting[0][2])
                 for s in range(0, len(qid), 128):
-                    parts.append(settle(a, b, c, waiting[0][2], qid[s : s + 128], q[s : s + 128]))
+                    parts.append(settle(a, b, c, waiting[0][2], err, qid[s : s + 128], q[s : s + 128]))
                     held += len(parts[-1][0])
                 if held > HELD:
                     parts = [best(parts)]
