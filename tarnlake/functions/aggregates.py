@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ALIASES = {
-    "count_star": "count", "arbitrary": "first", "arg_min": "min_by", "arg_max": "max_by", "mean": "avg", "favg": "avg",
+    "count_star": "count", "arbitrary": "first", "mean": "avg", "favg": "avg",
     "fsum": "sum", "kahan_sum": "sum", "sum_no_overflow": "sum", "quantile_cont": "percentile", "approx_quantile": "approx_percentile",
     "reservoir_quantile": "approx_percentile", "bool_and": "bool_and", "group_concat": "listagg", "kurtosis_pop": "kurtosis",
 }
@@ -37,7 +37,17 @@ def arg_max_n(c, by, n: int) -> Column:
     return F.transform(F.slice(F.sort_array(rows, False), 1, n), lambda s: s["v"])
 
 
+def arg_min(c, by) -> Column:
+    """The value at the smallest key; rows with a null value or key are left out."""
+    return F.min_by(_c(c), F.when(_c(c).isNotNull(), _c(by)))
+
+
+def arg_max(c, by) -> Column:
+    return F.max_by(_c(c), F.when(_c(c).isNotNull(), _c(by)))
+
+
 def arg_min_null(c, by) -> Column:
+    """The value at the smallest key, null if it is; only null keys are left out."""
     return F.min_by(_c(c), _c(by))
 
 
@@ -89,10 +99,13 @@ def kurtosis(c) -> Column:
 
 
 def _counts(c) -> Column:
-    """Map of each value to how often it occurs, by one sorted list."""
+    """Map of each value to how often it occurs, by one sorted list and the places where it changes."""
     values = F.array_sort(F.collect_list(_c(c)))
-    keys = F.array_distinct(values)
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(values, lambda v: v == k)).cast("long")))
+    n = F.size(values)
+    before = F.concat(F.slice(F.array_append(F.slice(values, 1, 0), F.lit(None)), 1, 1), F.slice(values, 1, F.greatest(n - 1, F.lit(0))))
+    starts = F.array_compact(F.transform(F.zip_with(values, before, lambda a, b: ~a.eqNullSafe(b)), lambda new, i: F.when(new, i)))
+    ends = F.array_append(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), n)
+    return F.map_from_arrays(F.array_distinct(values), F.zip_with(starts, F.slice(ends, 1, F.size(starts)), lambda a, z: (z - a).cast("long")))
 
 
 def histogram(c) -> Column:
@@ -100,6 +113,16 @@ def histogram(c) -> Column:
     return _counts(c)
 
 
+def histogram_exact(c, bins: list) -> Column:
+    """Map of each of the given values to how often it occurs; null, as the last key cannot be, stands for no other value."""
+    return F.map_from_arrays(F.array(*map(F.lit, bins)), F.array(*(F.count_if(_c(c) == F.lit(b)) for b in bins)))
+
+
+def approx_top_k(c, k: int) -> Column:
+    """The k most frequent values, most first; ties in no order of their own."""
+    return F.transform(F.approx_top_k(_c(c), k), lambda s: s["item"])
+
+
 def entropy_of_counts(n) -> Column:
     """Bits of entropy from a column of counts by value."""
     t = F.sum(n)

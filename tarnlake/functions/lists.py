@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,6 +183,15 @@ def array_cross_product(a, b) -> Column:
     return F.array(x(2) * y(3) - x(3) * y(2), x(3) * y(1) - x(1) * y(3), x(1) * y(2) - x(2) * y(1))
 
 
+def map_concat(*maps) -> Column:
+    """Entries of all maps; of a repeated key the last, whatever the session makes of repeated keys."""
+
+    def two(a: Column, b: Column) -> Column:
+        return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+    return reduce(two, map(_c, maps))
+
+
 def map_extract(c, k) -> Column:
     """A list of the key's value, or an empty list."""
     k = k if isinstance(k, Column) else F.lit(k)

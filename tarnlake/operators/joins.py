@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlake.session import scratch_path
+
 SIDE, LEFT_ROW, RIGHT_ROW = "__side", "__l", "__r"
 
 
@@ -85,22 +88,80 @@ def within_join(left: DataFrame, right: DataFrame, value: str, span: tuple[str,
     return x.join(y, on).drop("__bin", "__rbin")
 
 
+HOLDS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+
+
+def inequality_join(left: DataFrame, right: DataFrame, left_on: str, op: str, right_on: str, more: Column | None = None, buckets: int | None = None) -> DataFrame:
+    """Pairs with left_on op right_on (op one of <, <=, >, >=) that also pass `more`, such as a second inequality.
+
+    Values of the right side are cut into ranges at its quantiles; a row of the left is listed for the ranges that hold
+    any right value it can pair with, and meets only those, so that no pair of rows in ranges apart is ever tried.
+    What is left is an equality join on the range's number, which is dealt out (and split where it is skewed) like any
+    other. Rows with a null value pair with nothing. Numbers, dates and timestamps; names must not clash.
+    """
+    if op not in HOLDS:
+        raise ValueError(op)
+    n = buckets or 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = right.filter(F.col(right_on).isNotNull())
+    cuts = r.agg(F.percentile_approx(right_on, [k / n for k in range(n + 1)], 10_000).alias("q")).first()["q"]  # n + 1 values
+    cuts = sorted(set(cuts or []))
+    if not cuts:
+        return left.join(right.limit(0), F.lit(False))
+    at = F.array(*(F.lit(c).cast(right.schema[right_on].dataType) for c in cuts))
+    # range k holds the values from cut k - 1 (exclusive) to cut k (inclusive); the last one what lies beyond
+    place = lambda c: F.size(F.filter(at, lambda x: x < c))
+    mine = place(F.col(left_on))
+    ranges = F.sequence(mine, F.lit(len(cuts))) if op in ("<", "<=") else F.sequence(F.lit(0), mine)
+    x = left.filter(F.col(left_on).isNotNull()).withColumn("__tl_range", F.explode(ranges))
+    y = r.withColumn("__tl_own", place(F.col(right_on)))
+    on = [F.col("__tl_range") == F.col("__tl_own"), HOLDS[op](F.col(left_on), F.col(right_on))]
+    return x.join(y, on if more is None else [*on, more]).drop("__tl_range", "__tl_own")
+
+
+def choose_join(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]] = [], compare: list[tuple[str, str, str]] = []) -> DataFrame:  # noqa: B006
+    """An inner join by what its conditions are: equalities (left column, right column) are Spark's own hash or merge
+    join, with comparisons (left column, op, right column) as conditions on it; comparisons alone go to
+    inequality_join, by the first, with the others as conditions; with none it is Spark's cross join."""
+    residual = [HOLDS[op](F.col(a), F.col(b)) for a, op, b in compare]
+    if equal:
+        return left.join(right, [*(F.col(a) == F.col(b) for a, b in equal), *residual])
+    if compare:
+        a, op, b = compare[0]
+        return inequality_join(left, right, a, op, b, reduce(lambda p, q: p & q, residual[1:]) if residual[1:] else None)
+    return left.crossJoin(right)
+
+
+def spread_key(df: DataFrame) -> Column:
+    """A hash of a row's columns (maps and variants aside): splits rows of equal order over partitions."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not re.search("map<|variant|calendarinterval", f.dataType.simpleString())]
+    return F.xxhash64(*plain) if plain else F.lit(0)
+
+
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """Row numbers from 0 without a single-partition sort: range-partitioned by order, then offset by partition counts."""
+    """Row numbers from 0 without a single-partition sort; the column `name` is added last.
+
+    Rows are range-partitioned by the order (rows that it leaves equal by a hash of their columns, so that a value of
+    many rows is many partitions) and written once with their partition and place in it. Counts and numbers are both
+    taken from that table, so they are of the same partitions whatever is replanned or lost; rows keep the numbers
+    they once got, also where the order leaves them equal.
+    """
     spark = df.sparkSession
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    tagged = dealt.withColumn("__m", F.monotonically_increasing_id())
-    pid = F.shiftright("__m", 33)
-    sizes = tagged.groupBy(pid.alias("__p")).agg(F.count("*").alias("__n")).collect()  # a row for each partition
-    at, bases = 0, []
-    for r in sorted(sizes, key=lambda r: r["__p"]):
-        bases.append((r["__p"], at))
-        at += r["__n"]
-    base = F.broadcast(spark.createDataFrame(bases, "__p long, __base long"))
-    return tagged.withColumn("__p", pid).join(base, "__p").withColumn(name, F.col("__base") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__p", "__base", "__m")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*order, spread_key(df).asc()]
+    dealt = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    tagged = dealt.withColumn("__tl_part", F.spark_partition_id()).withColumn("__tl_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    path = scratch_path(spark, "numbered")
+    tagged.write.parquet(path)
+    held = spark.read.schema(tagged.schema).parquet(path)
+    bases, at = [], 0
+    for r in held.groupBy("__tl_part").count().orderBy("__tl_part").collect():  # a row for each partition
+        bases.append((r["__tl_part"], at))
+        at += r["count"]
+    base = F.broadcast(spark.createDataFrame(bases, "__tl_part int, __tl_base long"))
+    return held.join(base, "__tl_part").select(*(F.col(f"`{c}`") for c in df.columns if c != name), (F.col("__tl_base") + F.col("__tl_at")).alias(name))
 
 
 def positional_join(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column]) -> DataFrame:
     """Rows side by side in the given orders; the shorter side is filled with nulls."""
-    a, b = numbered(left, "__i", *left_order), numbered(right, "__j", *right_order)
+    a, b = numbered(left, "__i", *left_order), numbered(right, "__j", *right_order)  # names must not clash
     return a.join(b, F.col("__i") == F.col("__j"), "full").drop("__i", "__j")

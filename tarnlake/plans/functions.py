@@ -199,7 +199,7 @@ ENUM = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 MAPS = _select(
     "nation", ["n_nationkey"],
     ks=_json(lambda: F.array_sort(F.map_keys(_map()))), vs=_json(lambda: F.map_values(_map())), ex=_json(lambda: fn.map_extract(_map(), "b")), e0=_json(lambda: fn.map_extract(_map(), "z")), ev=lambda: fn.map_extract_value(_map(), "a"), co=lambda: F.map_contains_key(_map(), "a"), sz=lambda: F.size(_map()).cast("long"),
-    cc=lambda: F.element_at(F.map_concat(_map(), F.create_map(F.lit("a"), F.lit(-1))), "a"), st=lambda: fn.struct_extract(fn.struct_insert(F.struct(c("n_name").alias("x")), y=c("n_regionkey")), "y"), ut=lambda: fn.union_tag(fn.union_value("num", c("n_nationkey"), {"num": "int", "str": "string"})), ux=lambda: fn.union_extract(fn.union_value("num", c("n_nationkey"), {"num": "int", "str": "string"}), "num"),
+    cc=lambda: F.element_at(fn.map_concat(_map(), F.create_map(F.lit("a"), F.lit(-1))), "a"), st=lambda: fn.struct_extract(fn.struct_insert(F.struct(c("n_name").alias("x")), y=c("n_regionkey")), "y"), ut=lambda: fn.union_tag(fn.union_value("num", c("n_nationkey"), {"num": "int", "str": "string"})), ux=lambda: fn.union_extract(fn.union_value("num", c("n_nationkey"), {"num": "int", "str": "string"}), "num"),
     ec=lambda: fn.enum_code(F.element_at(fn.enum_range(ENUM), c("n_regionkey") + 1), ENUM), gb=lambda: fn.get_bit(F.lpad(F.bin("n_nationkey"), 8, "0"), 6), sb=lambda: fn.set_bit(F.lpad(F.bin("n_nationkey"), 8, "0"), 0, 1),
 )
 M = "MAP {'a': n_nationkey, 'b': n_regionkey}"

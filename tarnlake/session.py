@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -57,11 +58,24 @@ def cpus() -> int:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir), or, where unset, in a temporary one."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where that is unset, a session in one process (local master, as in tests) gets a temporary folder of its own; a
+    cluster has none that all its machines see, so there it is an error.
+    """
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, without a slash at its end; see scratch_path."""
     d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="tarnlake-")
-        if not held.isDefined():
+        if held.isDefined():
+            d = held.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            d = "file://" + tempfile.mkdtemp(prefix="tarnlake-")
             spark.sparkContext.setCheckpointDir(d)
-    return f"{d.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        else:
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
+    return d.rstrip("/")

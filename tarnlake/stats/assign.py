@@ -1,8 +1,8 @@
 """Which statistic each (table, block, column) gets under a budget of bytes.
 
 Options are rows (place, kind, size, prunes): a place is any hashable, prunes how many queries of a tuning workload
-skip its block by that kind. At most one kind a place. These run on the driver over aggregated options; tune and
-evaluate on different queries.
+skip its block by that kind. At most one kind a place. Three assigners run on the driver; priced runs on the cluster.
+Tune and evaluate on different queries.
 """
 
 from __future__ import annotations
@@ -103,31 +103,69 @@ def exact(options: Iterable[Option], budget: int) -> dict[Hashable, Option]:
 ASSIGNERS = {"greedy_simple": greedy_simple, "greedy": greedy, "exact": exact}
 
 
-def measure(df, stats, filters: list[tuple]) -> list[Option]:
-    """Options from a statistics table and a tuning workload: how many filters each statistic alone skips its block for."""
+def measured(df, stats, filters: list[tuple]):
+    """(block, col, kind, bytes, prunes) of the statistics beyond ranges: for how many filters of a tuning workload each
+    skips its block where the range alone does not. One pass where the statistics are."""
+    from collections.abc import Iterator
+
     from pyspark.sql import functions as F
 
-    from tarnlake.stats.blocks import keyed, outcomes
-
-    counts: dict = defaultdict(int)
-    sizes = {}
-    kinds = [r.kind for r in stats.select("kind").distinct().collect()]
-    fs = [keyed(df.sparkSession, df, f) for f in filters]
-    for kind in kinds:
-        one = stats.filter((F.col("kind") == kind) | (F.col("kind") == "min_max")).persist()
-        for f in fs:
-            for r in outcomes(one, f).filter("outcome IN (2, 4)").collect():
-                counts[r.block, f[1], kind] += 1
-        one.unpersist()
-    for r in stats.select("block", "col", "kind", "bytes").collect():
-        sizes[r.block, r.col, r.kind] = r.bytes
-    return [Option((b, c), k, n, counts.get((b, c, k), 0)) for (b, c, k), n in sizes.items()]
-
-
-def chosen(stats, taken: dict):
-    """The rows of a statistics table that an assignment keeps, and all of min_max."""
+    from tarnlake.stats.blocks import columns_of, evaluate, keyed
+
+    fs = [(f[1], keyed(df.schema, f)) for f in filters]
+    held = F.collect_list(F.struct("col", "kind", "n", "nulls", "low", "high", "bytes", "payload"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for rows in b.column("rows").to_pylist():
+                for r in rows:
+                    known, plain = columns_of([r]), columns_of([r | {"payload": None}])
+                    out.append((r["col"], r["kind"], r["bytes"], sum(c == r["col"] and evaluate(f, known).skips and not evaluate(f, plain).skips for c, f in fs)))
+            size = [len(x) for x in b.column("rows").to_pylist()]
+            block = [x for x, n in zip(b.column("block").to_pylist(), size, strict=True) for _ in range(n)]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([block, *(zip(*out, strict=True) if out else [[]] * 4)], kinds, strict=True)], names=["block", "col", "kind", "bytes", "prunes"])
+
+    return stats.filter("payload IS NOT NULL").groupBy("block").agg(held.alias("rows")).select("block", "rows").mapInArrow(run, "block long, col string, kind string, bytes long, prunes long")
+
+
+def measure(df, stats, filters: list[tuple]) -> list[Option]:
+    """The options of measured on the driver, for assigners that run there: for tables whose blocks fit it."""
+    return [Option((r.block, r.col), r.kind, r.bytes, r.prunes) for r in measured(df, stats, filters).collect()]
+
+
+def priced(options, budget: int, rounds: int = 40):
+    """(block, col, kind) by one price for all: each place takes the kind with most prunes left after paying for its
+    bytes, and the price is the lowest, by bisection, at which all fits the budget. options: (block, col, kind, bytes,
+    prunes). Every round is one aggregate, so that the places need not fit the driver.
+    """
     from pyspark.sql import functions as F
 
+    useful = options.filter("prunes > 0 AND bytes > 0").persist()
+    best = F.max_by(F.struct("kind", "bytes", "prunes", "worth"), F.struct("worth", -F.col("bytes"), "kind"))
+
+    def at(price: float):
+        worth = useful.withColumn("worth", F.col("prunes") - F.lit(price) * F.col("bytes")).filter("worth > 0")
+        return worth.groupBy("block", "col").agg(best.alias("b")).select("block", "col", "b.kind", "b.bytes")
+
+    def cost(price: float) -> int:
+        return at(price).agg(F.sum("bytes")).first()[0] or 0
+
+    low, high = 0.0, float(useful.agg(F.max(F.col("prunes") / F.col("bytes"))).first()[0] or 0)
+    if cost(low) > budget:
+        for _ in range(rounds):
+            mid = (low + high) / 2
+            low, high = (low, mid) if cost(mid) <= budget else (mid, high)
+        low = high
+    useful.unpersist()
+    return at(low).select("block", "col", "kind")
+
+
+def chosen(stats, taken):
+    """The rows of a statistics table that an assignment (of an assigner, or of priced) keeps, and all of min_max."""
     spark = stats.sparkSession
-    keep = spark.createDataFrame([(b, c, o.kind) for (b, c), o in taken.items()], "block long, col string, kind string")
-    return stats.filter("kind = 'min_max'").unionByName(stats.filter("kind <> 'min_max'").join(F.broadcast(keep), ["block", "col", "kind"], "left_semi"))
+    keep = spark.createDataFrame([(b, c, o.kind) for (b, c), o in taken.items()], "block long, col string, kind string") if isinstance(taken, dict) else taken
+    return stats.filter("kind = 'min_max'").unionByName(stats.filter("kind <> 'min_max'").join(keep, ["block", "col", "kind"], "left_semi"))

@@ -1,15 +1,18 @@
 """Block statistics: nothing present is ever ruled out; pruned results equal unpruned; assignments against brute force."""
 
+import datetime as dt
 import random
+from decimal import Decimal
 from itertools import product
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tarnlake.session import table
-from tarnlake.stats import assign, blocks, workload
+from tarnlake.stats import assign, blocks, kinds, workload
 from tarnlake.stats.blocks import Column1, Outcome, evaluate
 from tarnlake.stats.kinds import KINDS, key_of, rice, unrice
 
@@ -106,3 +109,87 @@ def test_tune_and_evaluate_apart(spark, sf):
     kept = assign.chosen(stats, taken)
     for f in test:
         assert sorted(map(tuple, blocks.pruned(df, kept, f).collect())) == sorted(map(tuple, df.filter(blocks.condition(f)).collect()))
+
+
+BIG = 1 << 62
+TYPED = {
+    "i int": ([5, 5, -3, None, 2147483647], [5, 5.5, -3.5, 3_000_000_000, -3_000_000_000, 1e300, float("inf"), float("nan"), Decimal("5.0"), Decimal("5.5"), None]),
+    "l long": ([1, BIG, BIG + 1, -BIG, None], [BIG, BIG + 1, float(BIG), BIG + 0.5, 1.5, Decimal(BIG) + Decimal("0.5")]),
+    "d double": ([0.0, -0.0, 1.5, float("nan"), float("inf"), None], [0, 0.0, -0.0, 1.5, 1, float("nan"), float("-inf"), Decimal("1.5")]),
+    "f float": ([0.1, 2.5, None], [0.1, 2.5, 2]),
+    "c decimal(9,2)": ([Decimal("1.25"), Decimal("-7.10"), None], [1, 1.25, Decimal("1.25"), Decimal("1.255"), Decimal("-7.1"), 10**12]),
+    "s string": (["a", "", "é", None], ["a", "é", "zz"]),
+    "t date": ([dt.date(2024, 1, 5), dt.date(1960, 2, 3), None], [dt.date(2024, 1, 5), dt.date(2024, 1, 6), dt.date(1900, 1, 1)]),
+    "n timestamp_ntz": ([dt.datetime(2024, 3, 31, 2, 30, 0, 7), dt.datetime(1960, 1, 1, 23, 59, 59, 999999), None], [dt.datetime(2024, 3, 31, 2, 30, 0, 7), "2024-03-31 02:30:00", "1960-01-02"]),
+    "b boolean": ([True, True, None], [True, False]),
+}
+
+
+@pytest.mark.parametrize(("form", "zone"), [(f, "UTC") for f in TYPED] + [(f, "Europe/Berlin") for f in ("t date", "n timestamp_ntz")])
+def test_constants_of_any_type_prune_as_plain_filters(spark, form, zone):
+    held = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        c, (values, constants) = form.split()[0], TYPED[form]
+        rows = [(k, v) for k, v in enumerate(values)] + [(9, values[0]), (9, values[0]), (10, None)]
+        df = blocks.saved(spark.createDataFrame(rows, f"block long, {form}").coalesce(1), "typed")
+        stats = blocks.build(df, [c], ["dictionary", "bloom_s", "occupancy_s", "cluster_m", "nullspace3_s"]).collect()
+        filters = [(op, c, v) for v in constants for op in ("=", "<>", "<", "<=", ">", ">=", "is distinct", "not distinct")]
+        filters += [("in", c, constants[:2]), ("between", c, constants[0], constants[-1]), ("between", c, constants[-1], constants[0]), ("or", ("=", c, constants[-1]), ("is null", c)), ("and", (">=", c, constants[0]), ("is not null", c))]
+        passing = df.select("block", *(F.coalesce(blocks.condition(f, df.schema), F.lit(False)).alias(f"f{i}") for i, f in enumerate(filters))).collect()
+        held_in = {i: {r.block for r in passing if r[f"f{i}"]} for i in range(len(filters))}
+        by_block = {}
+        for r in stats:
+            by_block.setdefault(r.block, []).append(r.asDict())
+        skipped = 0
+        for i, f in enumerate(filters):
+            key = blocks.keyed(df.schema, f)
+            for block, got in by_block.items():
+                o = evaluate(key, blocks.columns_of(got))
+                assert not (o.skips and block in held_in[i]), (f, block, o)
+                assert o != Outcome.ALWAYS_TRUE or all(r[f"f{i}"] for r in passing if r.block == block), (f, block)
+                skipped += o.skips
+        assert skipped
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", held)
+
+
+def test_constants_beside_all_values():
+    from pyspark.sql.types import IntegerType, StructType
+
+    schema = StructType().add("x", IntegerType())
+    c = {"x": Column1(5, 0, key_of(5), key_of(5), [])}
+    for f, want in ((("<", "x", 5.5), Outcome.ALWAYS_TRUE), ((">", "x", 5.5), Outcome.ALWAYS_FALSE), (("<>", "x", 5.5), Outcome.ALWAYS_TRUE), (("=", "x", 5.5), Outcome.ALWAYS_FALSE), (("<", "x", 3_000_000_000), Outcome.ALWAYS_TRUE), ((">", "x", 1 << 70), Outcome.ALWAYS_FALSE), (("in", "x", [5.5, None]), Outcome.ALWAYS_FALSE), (("between", "x", 4.5, 1e30), Outcome.ALWAYS_TRUE), (("=", "x", "5"), Outcome.SOME)):
+        assert evaluate(blocks.keyed(schema, f), c) == want, f
+
+
+def test_null_bases():
+    rng = np.random.default_rng(5)
+    for p in (2, 3):
+        for n in (1, 5, 12):
+            a = rng.integers(0, p, (n, 10))
+            v = kinds.null_basis(a, p)
+            assert not ((a @ v.T) % p).any() and len(v) >= 10 - n and len({tuple(x) for x in v}) == len(v)
+
+
+def test_fitted_null_spaces_take_the_better_form():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 150, dtype=np.uint64))
+    probes = np.random.default_rng(2).integers(1 << 62, 1 << 63, 1000, dtype=np.uint64)
+    for name in ("nullspace_s", "nullspace_m", "nullspace3_s", "nullspace3_m"):
+        raw = KINDS[name].build(keys)
+        assert len(raw) <= KINDS[name].budget and all(KINDS[name].may(raw, int(k), int(k)) for k in keys)
+        share = sum(KINDS[name].may(raw, int(x), int(x)) for x in probes) / len(probes)
+        assert share < (0.45 if name.endswith("_s") else 0.05), (name, share)
+    assert kinds.FittedNullSpace(2000, 2).build(keys)[0] == 0 and kinds.FittedNullSpace(16, 2).build(keys[:45])[0] == 2
+
+
+def test_prices_keep_to_the_budget(spark):
+    rng = random.Random(3)
+    rows = [(b, "x", k, rng.randint(5, 90), rng.randint(0, 20)) for b in range(40) for k in ("p", "q", "r")]
+    df = spark.createDataFrame(rows, "block long, col string, kind string, bytes long, prunes long")
+    size = {(b, k): (n, p) for b, _, k, n, p in rows}
+    for budget in (0, 300, 1000, 10**6):
+        got = [(r.block, r.kind) for r in assign.priced(df, budget).collect()]
+        assert len({b for b, _ in got}) == len(got) and sum(size[x][0] for x in got) <= budget
+        best = sum(o.prunes for o in assign.exact([assign.Option(b, k, n, p) for b, _, k, n, p in rows], min(budget, 4000)).values())
+        assert sum(size[x][1] for x in got) >= (0.8 * best if budget >= 300 else 0)
