@@ -5,14 +5,13 @@ from __future__ import annotations
 import os
 import re
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.session import ensure_workers
+from tarnlake.session import ensure_workers, shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,19 +23,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset one of our own (tests)."""
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            d = held.get()
-        else:
-            d = "file://" + tempfile.mkdtemp(prefix="tarnlake-")
-            spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -140,6 +126,21 @@ def crc_mod(n: int, c: str = "doc_id"):
     return F.crc32(F.col(c).cast("string")) % n
 
 
+BITS = 1 << 23
+
+
+def bit_table(rks: DataFrame) -> DataFrame:
+    """A table of BITS bits, of bounded size, of those that stand for hashes rk."""
+    bits = rks.select(F.pmod("rk", F.lit(BITS)).alias("bit"))
+    return bits.groupBy(F.floor(F.col("bit") / 64).alias("__tl_word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("__tl_bits"))
+
+
+def marked(df: DataFrame, rk: str, table: DataFrame) -> DataFrame:
+    """df with __tl_maybe: whether the bit of its hash rk is set in table, as it is for all hashes that made it."""
+    held = df.join(F.broadcast(table), F.floor(F.pmod(rk, F.lit(BITS)) / 64) == F.col("__tl_word"), "left")
+    return held.withColumn("__tl_maybe", F.coalesce(F.expr(f"(shiftright(__tl_bits, cast(pmod({rk}, {BITS}) % 64 as int)) & 1) = 1"), F.lit(False)))
+
+
 #: Fixed by the byte-level scheme: printable bytes stand for themselves, the others for code points from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
@@ -148,90 +149,128 @@ BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerat
 class WordEncoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library, encoding each distinct piece once.
 
-    The byte-level pattern always breaks before a space that follows a non-space character, so a text may be
-    cut there and its pieces encoded apart. A piece of Latin letters, digits, ASCII signs and line ends is cut
-    by the same pattern here and goes to the library's model at once; any other goes through the whole library.
-    Pieces are kept in a bounded table, which starts anew when full. Special-token strings in a text are
-    ordinary text.
+    The ids are those of the library's encode with add_special_tokens=False. The byte-level pattern always breaks before
+    a space that follows a non-space character, so a text may be cut there and its pieces encoded apart. A piece of
+    Latin letters, digits, ASCII signs and line ends is cut by the same pattern here and goes to the library's model at
+    once; any other goes through the whole library, and so does a text that holds one of the file's added tokens, which
+    the library finds before it cuts. Pieces are kept in two tables of at most `most` each: when the newer is
+    full it becomes the older, from which pieces that are met again move up; long pieces are not kept.
     """
 
     CUT = re.compile("(?<=[^\\s\x1c-\x1f\u180e\u200b\ufeff])(?= )")
     SIMPLE = re.compile("[\\n !-~À-ÖØ-öø-ɏ]*")
     PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\\s0-9A-Za-zÀ-ÖØ-öø-ɏ]+|\\s+(?!\\S)|\\s+")
     LAST = re.compile("[!-~À-ÖØ-öø-ɏ]")
+    WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
+    LONG = 64
 
-    def __init__(self, name: str, most: int = 600_000):
+    def __init__(self, name: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(name)
-        self.t.encode_special_tokens = True
         self.model, self.most = self.t.model, most
+        self.added = [str(x.content) for x in self.t.get_added_tokens_decoder().values()]
         self.after: dict[str, bytes] = {}  # pieces with a space before them, of which the last character is no space
+        self.older: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {}
-        self.kind, self.code = ("<u2", "H") if self.t.get_vocab_size() <= 65536 else ("<u4", "I")
+        self.kind, code = ("<u2", "H") if self.t.get_vocab_size() <= 65536 else ("<u4", "I")
+        self.packers = [struct.Struct(f"<{n}{code}").pack for n in range(24)]
+        self.code = code
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return self.packers[len(ids)](*ids) if len(ids) < 24 else struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _part(self, part: str) -> bytes:
         """Ids of what the pattern leaves whole."""
-        return self._bytes([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(BYTE_CHARS))])
+        if not part.isascii() or not part.isalpha():
+            part = part.encode().decode("latin-1").translate(BYTE_CHARS)
+        return self._bytes([t.id for t in self.model.tokenize(part)])
 
     def _encode(self, piece: str) -> bytes:
         if self.SIMPLE.fullmatch(piece):
             return b"".join(map(self._part, self.PARTS.findall(piece)))
         return self._bytes(self.t.encode(piece, add_special_tokens=False).ids)
 
+    def _spaced(self, word: str) -> bytes:
+        """Ids of a Latin word after a space."""
+        return self._bytes([t.id for t in self.model.tokenize("Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)))])
+
     def _word(self, p: str) -> bytes:
-        """Ids of a piece after a space: a Latin word, one with a sign after it, or anything else."""
-        if p.isascii():
-            if p.isalpha():
-                return self._bytes([t.id for t in self.model.tokenize("Ġ" + p)])
-            word = p[:-1]
-            if word.isalpha() and p[-1] in ".,:;!?|":
-                if (known := self.after.get(word)) is None:
-                    known = self.after[word] = self._bytes([t.id for t in self.model.tokenize("Ġ" + word)])
-                if (sign := self.signs.get(p[-1])) is None:
-                    sign = self.signs[p[-1]] = self._part(p[-1])
-                return known + sign
-        return self._encode(" " + p)
+        """Ids of a piece after a space: a Latin word, one with signs after it, or anything else."""
+        m = self.WORD.fullmatch(p)
+        if m is None:
+            return self._encode(" " + p)
+        word, tail = m.groups()
+        if not tail:
+            return self._spaced(p)
+        known = self.after.get(word) or self.older.get(word)
+        if known is None:
+            known = self._keep(word, self._spaced(word))
+        if (sign := self.signs.get(tail)) is None:
+            sign = self._part(tail)
+            if len(tail) < 4:  # so there are few
+                self.signs[tail] = sign
+        return known + sign
+
+    def _keep(self, p: str, ids: bytes) -> bytes:
+        if len(p) < self.LONG:
+            self.after[p] = ids
+        return ids
 
     def __call__(self, text: str):
         """uint32 ids of the text, without an end id."""
         import numpy as np
 
+        return np.frombuffer(self.packed(text), self.kind).astype("<u4")
+
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian integers of the width of `kind`."""
+        for x in self.added:
+            if x in text:
+                return self._bytes(self.t.encode(text, add_special_tokens=False).ids)
+        if len(self.after) > self.most:
+            self.older, self.after = self.after, {}
         first, *pieces = text.split(" ")
-        after = self.after
+        after, older = self.after, self.older
         got = list(map(after.get, pieces))
         if None in got:
-            if len(after) > self.most:
-                after.clear()
-                got = [None] * len(pieces)
             clean = self.LAST.match
-            for k, (p, g) in enumerate(zip(pieces, got, strict=True)):
+            for k, g in enumerate(got):
                 if g is None:
-                    if p in after:
-                        got[k] = after[p]
+                    p = pieces[k]
+                    if (known := after.get(p)) is not None:
+                        got[k] = known
+                    elif (known := older.get(p)) is not None:
+                        got[k] = after[p] = known
                     elif p and clean(p[-1]):
-                        got[k] = after[p] = self._word(p)
+                        got[k] = self._keep(p, self._word(p))
                     else:  # a run of spaces, a line end before a space, or other characters
                         return self._slow(text)
-        if first and pieces and not self.LAST.match(first[-1]) or not first and pieces:
+        if pieces and not (first and self.LAST.match(first[-1])):
             return self._slow(text)
-        return np.frombuffer(self._encode(first) + b"".join(got), self.kind).astype("<u4")
-
-    def _slow(self, text: str):
-        import numpy as np
+        got.insert(0, self._encode(first))
+        return b"".join(got)
 
-        after, out = self.after, []
+    def _slow(self, text: str) -> bytes:
+        out = []
         for p in self.CUT.split(text):
             key = p[1:]
-            if p[:1] == " " and key in after:
-                out.append(after[key])
-                continue
-            ids = self._encode(p)
-            if len(p) < 64 and p[:1] == " " and key and key[0] != " " and self.LAST.match(key[-1]):
-                after[key] = ids
+            spaced = p[:1] == " " and key and key[0] != " " and self.LAST.match(key[-1])
+            ids = (self.after.get(key) or self.older.get(key)) if spaced else None
+            if ids is None:
+                ids = self._word(key) if spaced else self._encode(p)
+                if spaced:
+                    self._keep(key, ids)
             out.append(ids)
-        return np.frombuffer(b"".join(out), self.kind).astype("<u4")
+        return b"".join(out)
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(name: str) -> WordEncoder:
+    """The process's encoder for a tokenizer file: later tasks of a worker find the pieces of earlier ones."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = WordEncoder(name)
+    return _ENCODERS[name]

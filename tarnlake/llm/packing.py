@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import WordEncoder, docs_of, prepare
+from tarnlake.llm.common import docs_of, encoder, prepare
 
 END = 0
 
@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
         import pyarrow as pa
 
         kinds = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
-        encode, packer = WordEncoder(tokenizer), Packer(limits, True)
+        encode, packer = encoder(tokenizer), Packer(limits, True)
         base, n = TaskContext.get().partitionId() << 40, 0
         rows: list[tuple] = []
 

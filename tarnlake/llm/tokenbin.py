@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import WordEncoder, docs_of, get_bytes, local_path, prepare, put_bytes, work_path
+from tarnlake.llm.common import docs_of, encoder, get_bytes, local_path, prepare, put_bytes, work_path
 
 END = 0
 OUT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -63,15 +63,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END)
         import pyarrow as pa
 
         k = TaskContext.get().partitionId()
-        encode, sink = WordEncoder(tokenizer), Sink(f"{path}/part-{k:06d}.bin")
+        encode, sink = encoder(tokenizer), Sink(f"{path}/part-{k:06d}.bin")
         ids, offsets = [], [0]
         end = np.array([end_id], encode.kind).tobytes()
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                got = encode(text).astype(encode.kind)
-                sink.write(got.tobytes() + end)
+                got = encode.packed(text)
+                sink.write(got)
+                sink.write(end)
                 ids.append(doc_id)
-                offsets.append(offsets[-1] + len(got) + 1)
+                offsets.append(offsets[-1] + len(got) // len(end) + 1)
         sink.close()
         head = np.array([len(ids), *(0 if x is None else x for x in ids), *offsets], "<i8").tobytes()
         put_bytes(f"{path}/part-{k:06d}.idx", head + bytes(x is None for x in ids))
