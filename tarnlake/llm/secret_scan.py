@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import docs_of, prepare, work_path, written
+from tarnlake.llm.common import bit_table, docs_of, marked, prepare, work_path, written
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -58,6 +58,11 @@ class RuleSet:
     version: str
     rules: tuple[Rule, ...]
 
+    @property
+    def key(self) -> str:
+        """The version with a hash of the rules: rules that change under one name are scanned anew."""
+        return f"{self.version}:{hashlib.sha256(repr(self.rules).encode()).hexdigest()[:16]}"
+
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) of all spans, by start and then the rules' order."""
         found = [(s, k, r.kind, e) for k, r in enumerate(self.rules) for s, e in r.find(text)]
@@ -87,8 +92,11 @@ class BlobLedger:
 
     def update(self, versions: DataFrame, rules: RuleSet) -> None:
         """Scans the blobs of versions (blob, text) that the ledger lacks under these rules, each once."""
-        seen = self.table().filter(F.col("rule_version") == rules.version).select("blob")
-        once = versions.join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+        seen = self.table().filter(F.col("rule_version") == rules.key).select("blob")
+        # copies collapse within each task first, so that a blob of many paths is shuffled once a task, not once a path
+        once = versions.groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left_anti")
+
+        key = rules.key
 
         def scan(batches: Iterator) -> Iterator:
             import pyarrow as pa
@@ -96,21 +104,25 @@ class BlobLedger:
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             for b in batches:
                 got = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in rules.scan(t)] for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([rules.version] * len(got), pa.string()), b.column("blob"), pa.array(got, kind)], ["rule_version", "blob", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(got), pa.string()), b.column("blob"), pa.array(got, kind)], ["rule_version", "blob", "spans"])
 
         once.select("blob", "text").mapInArrow(scan, self.SCHEMA).write.mode("append").option("compression", "zstd").parquet(self.path)
 
     def scan(self, history: DataFrame, rules: RuleSet = DEFAULT) -> DataFrame:
-        """Findings of every row of history (any key columns, and text): the key columns, blob and spans."""
-        keys = [c for c in history.columns if c != "text"]
-        held = history.withColumn("text", F.coalesce("text", F.lit("")))
-        held = held.withColumn("blob", F.unhex(F.sha2("text", 256)))
-        self.update(held.select("blob", "text"), rules)
-        found = self.table().filter((F.col("rule_version") == rules.version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
+        """Findings of every row of history (any key columns, and text): the key columns, blob and spans.
+
+        Key columns that are named blob or spans give way to the ledger's own.
+        """
+        keys = [F.col(f"`{c}`") for c in history.columns if c not in ("text", "blob", "spans")]
+        text = F.coalesce("text", F.lit(""))
+        blob = F.unhex(F.sha2(text, 256)).alias("blob")
+        self.update(history.select(blob, text.alias("text")), rules)
+        found = self.table().filter((F.col("rule_version") == rules.key) & (F.size("spans") > 0)).dropDuplicates(["blob"])
         # written: both sides of the join are then plain exchanges, of which Spark can split a blob of many paths
-        found = written(found.select(F.col("blob").alias("_blob"), "spans"), "found")
+        found = written(found.select(F.col("blob").alias("__tl_blob"), F.col("spans").alias("__tl_spans")), "found")
         none = F.array().cast(SPANS)
-        return held.select(*keys, "blob").join(found, F.col("blob") == F.col("_blob"), "left").select(*keys, "blob", F.coalesce("spans", none).alias("spans"))
+        held = history.select(*keys, blob)
+        return held.join(found, F.col("blob") == F.col("__tl_blob"), "left").select(*keys, "blob", F.coalesce("__tl_spans", none).alias("spans"))
 
 
 def joined(kinds: tuple[str, ...] | None = None):
@@ -133,7 +145,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, ledger: str, rules: RuleSet = DEFAULT, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span's text replaced by mark, overlapping spans as one; n_chars follows. Other columns stay."""
-    found = BlobLedger(spark, ledger).scan(docs.select("text"), rules).filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+    led = BlobLedger(spark, ledger)
+    led.update(docs.select(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"), F.coalesce("text", F.lit("")).alias("text")), rules)
+    found = led.table().filter((F.col("rule_version") == rules.key) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
+    found = written(found, "found")
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -152,20 +167,12 @@ def redact(spark: SparkSession, docs: DataFrame, ledger: str, rules: RuleSet = D
         return pd.Series(out, dtype=object)
 
     columns = docs.columns
-    x = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    x = x.join(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob", "left")
-    x = x.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", "__spans")))
+    x = docs.withColumn("__tl_blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    # texts go to the join only where a bounded table of bits says that they may hold a secret; the others stay in place
+    held = marked(x.withColumn("__tl_rk", F.xxhash64("__tl_blob")), "__tl_rk", bit_table(found.select(F.xxhash64("blob").alias("rk"))))
+    spans = found.select(F.col("blob").alias("__tl_own"), F.col("spans").alias("__tl_spans"))
+    some = held.filter("__tl_maybe").join(spans, F.col("__tl_blob") == F.col("__tl_own"), "left")
+    some = some.withColumn("text", F.when(F.col("__tl_spans").isNull(), F.col("text")).otherwise(cut("text", "__tl_spans")))
     if "n_chars" in columns:
-        x = x.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return x.select(*columns)
-
-
-def brute(text: str | None) -> dict:
-    """The digest of one text, by the definitions alone; for tests."""
-    t, found = text or "", []
-    for k, (kind, pattern, group, least, flags) in enumerate((("assign", BASE[0].pattern, 2, 6, re.I | re.A), ("access", "AKIA[A-Z0-9]+", 0, 20, re.A), ("hex", "[0-9a-f]+", 0, 24, re.A))):
-        found += [(m.start(), k, kind, m.end()) for m in re.finditer(pattern, t, flags) if m.end(group) - m.start(group) >= least]
-    found.sort()
-    said = ",".join(f"{kind}:{s}:{e}" for s, _, kind, e in found)
-    n = {f"n_{kind}": sum(x[2] == kind for x in found) for kind in BASE_KINDS}
-    return n | {"base_sha256": hashlib.sha256(said.encode()).hexdigest()}
+        some = some.withColumn("n_chars", F.when(F.col("__tl_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return held.filter(~F.col("__tl_maybe")).select(*(F.col(f"`{c}`") for c in columns)).unionAll(some.select(*(F.col(f"`{c}`") for c in columns)))
