@@ -6,22 +6,22 @@ place of least hash among its first WIN starts; the choice depends on the window
 own suffixes that agree in the LEAD bytes after that place. About one place in WIN / 2 is owned. The steps:
 
 1. Texts are written once, compressed, to files of about FILE_BYTES in the shared folder; later steps read
-   these files in place and never shuffle text.
-2. Each owned suffix becomes a row: its leading 8 bytes, a hash of its LEAD bytes, a hash of the whole stretch
-   that its windows cover, and where it is. Sampled splitters range-partition the rows by leading bytes (then
-   the rest, so that equal suffixes may lie in several partitions), and each bucket is sorted, column after
-   column: the multikey order, 8 bytes at a time, then by hash.
-3. A scan of each sorted bucket finds runs of equal suffixes. Equal stretches in a run are repeats as a whole.
-   Runs of unequal stretches, and runs at a bucket's edges (which may go on in the next), go to step 4, cut into
-   groups of at most GROUP rows.
-4. Groups are compared by the bytes of their stretches, window by window. Windows of a run that is cut into
-   groups, or crosses a boundary, and that their own group leaves single, are looked up over all groups, by
-   buckets of their hash.
+   these files in place and never shuffle text. Each file also gives a few of its owned suffixes as a sample.
+2. Each owned suffix becomes a row: its LEAD bytes as KEYS numbers of 8 bytes each, a 128-bit digest of the whole
+   stretch that its windows cover, and where it is. Splitters from the sample range-partition the rows by these bytes
+   (among equal suffixes then by digest and place, so that a suffix of a third of all rows is many buckets).
+3. Each bucket is sorted by multikey quicksort on numbers of 8 bytes: by the first; then only those rows that are equal
+   so far by the next; and so on. So buckets, one after the other, are the suffix array to LEAD bytes, and rows that
+   are equal there are runs. Equal stretches in a run (told by their 128-bit digests) are repeats as a whole. Runs
+   of unequal stretches, and runs at a bucket's edges (which may go on in the next), go to step 4, cut into groups of at
+   most GROUP rows.
+4. Groups are compared by the bytes of their stretches, window by window: equal hashes propose, bytes decide. Windows
+   of a run that is cut into groups, or crosses a boundary, and that their own group leaves single, are looked up over
+   all groups, by buckets of their 128-bit digest.
 5. The windows found are laid over each text, and what they cover is left out.
 
-Strings are compared by 64-bit hashes of random byte values. Defined results: a null text is empty; a text of
-fewer than SPAN bytes stays; repeated rows are repeats of each other; a null doc_id keeps its row; an empty
-table gives no rows; other columns are ignored.
+Defined results: a null text is empty; a text of fewer than SPAN bytes stays; repeated rows are repeats of each other; a
+null doc_id keeps its row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,11 +38,16 @@ from pyspark.sql import functions as F
 from tarnlake.llm.common import chunks, dealt, docs_of, get_bytes, partitions, prepare, put_bytes, spread, work_path, written
 
 SPAN = 200  # bytes of a repeat
-WIN = 160  # starts among which a window chooses its place
+WIN = 161  # starts among which a window chooses its place
 LEAD = SPAN - WIN + 1  # bytes from that place that lie in the window whatever the choice
+KEYS = LEAD // 8
+NAMES = [f"k{i}" for i in range(KEYS)]
 FILE_BYTES = 16 << 20
 PART_BYTES = 1 << 20  # of text that is hashed at once
 GROUP = 1024
+SAMPLED = 32  # suffixes that a file gives for the splitters
+SAMPLES = 4096  # files, at most, whose samples are read
+FILES = 2  # of text a bucket, about
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,11 +91,12 @@ def eights(buf: np.ndarray) -> np.ndarray:
 
 
 def owned(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Owned places of texts that end at ends in buf: place, first and last start of the windows that own it, lead."""
+    """Owned places of texts that end at ends in buf: place, first and last start of the windows that own it, keys."""
     n = len(buf)
     none = np.zeros(0, np.int64)
+    nothing = none, none, none, np.zeros((KEYS, 0), np.uint64)
     if n < SPAN:
-        return none, none, none, np.zeros(0, np.uint64)
+        return nothing
     lead = eights(buf)
     m = (mix(lead) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(lead), dtype=np.uint64)
     held = 1
@@ -105,13 +111,13 @@ def owned(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         good[max(0, e - SPAN + 1) : e] = False
     starts = np.flatnonzero(good)
     if not len(starts):
-        return none, none, none, np.zeros(0, np.uint64)
+        return nothing
     place = place[starts]
     # a place's windows follow each other, within one text
     first = np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)])
     a = np.flatnonzero(first)
     b = np.concatenate([a[1:], [len(starts)]]) - 1
-    return place[a], starts[a], starts[b], lead[place[a]]
+    return place[a], starts[a], starts[b], np.stack([lead[place[a] + 8 * i] for i in range(KEYS)])
 
 
 def pack_file(rows: list[tuple]) -> bytes:
@@ -128,9 +134,17 @@ class TextFile:
     """A file of pack_file: buf holds all texts, which end at ends."""
 
     def __init__(self, path: str):
+        self.read(bytes(get_bytes(path)))
+
+    @classmethod
+    def of(cls, raw: bytes) -> TextFile:
+        out = cls.__new__(cls)
+        out.read(raw)
+        return out
+
+    def read(self, raw: bytes) -> None:
         import zstandard
 
-        raw = bytes(get_bytes(path))
         (n,) = struct.unpack_from("<q", raw)
         ids, lengths = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n)
         nulls = raw[8 + 16 * n : 8 + 17 * n]
@@ -170,8 +184,29 @@ def by_file(batches: Iterator, path: str) -> Iterator[tuple[int, TextFile, list]
         yield now, TextFile(f"{path}/{now:016x}"), pa.Table.from_batches(held)
 
 
+def digests(raw: bytes, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """128-bit digests of raw[a:z], as two columns of 64 bits."""
+    import xxhash
+
+    view, h = memoryview(raw), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join(h(view[x:y]) for x, y in zip(a.tolist(), z.tolist(), strict=True)), np.uint64).reshape(-1, 2)
+
+
+def rows_of(t: TextFile, base: int, buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """Owned suffixes of a part of a file: keys, digests (two columns), first and last start of their windows in the file."""
+    p, a, z, keys = owned(buf, ends)
+    if not len(p):
+        return None
+    return keys, digests(t.bytes, a + base, z + base + SPAN), a + base, z + base
+
+
+def sortable(keys: np.ndarray, full: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Rows as strings whose order is that of their keys, then of their digests, then of tie."""
+    return np.ascontiguousarray(np.vstack([keys, full[:, :1].T, tie[None, :]]).T.astype(">u8")).view(f"S{8 * (KEYS + 2)}").ravel()
+
+
 def store(docs: DataFrame, path: str) -> DataFrame:
-    """Writes docs to files under path; (file) of each."""
+    """Writes docs to files under path; (file, sample) of each."""
 
     def put(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -179,16 +214,35 @@ def store(docs: DataFrame, path: str) -> DataFrame:
         k = TaskContext.get().partitionId()
         for n, rows in enumerate(chunks(batches, FILE_BYTES, ["doc_id"])):
             f = k << 32 | n
-            put_bytes(f"{path}/{f:016x}", pack_file(rows))
-            yield pa.RecordBatch.from_pydict({"file": [f]})
+            raw = pack_file(rows)
+            put_bytes(f"{path}/{f:016x}", raw)
+            some = b""
+            t = TextFile.of(raw)
+            for base, buf, ends in t.parts():
+                got = rows_of(t, base, buf, ends)
+                if got is not None:
+                    keys, full, first, _ = got
+                    step = max(1, len(first) // SAMPLED)
+                    some = sortable(keys[:, ::step], full[::step], mix(first[::step].astype(np.uint64) ^ np.uint64(f))).tobytes()
+                    break
+            yield pa.RecordBatch.from_pydict({"file": pa.array([f], pa.int64()), "sample": pa.array([some], pa.binary())})
+
+    return written(docs.mapInArrow(put, "file long, sample binary"), "files")
+
+
+SUFFIX = f"bucket int, {', '.join(f'{k} long' for k in NAMES)}, full long, more long, file long, first int, last int"
 
-    return written(docs.mapInArrow(put, "file long"), "files")
 
+def splitters(files: DataFrame, buckets: int) -> np.ndarray:
+    """buckets - 1 suffixes that cut the sampled ones into equal parts; of at most SAMPLES files."""
+    got = files.select("sample").orderBy(F.xxhash64("file")).limit(SAMPLES).collect()
+    raw = np.sort(np.frombuffer(b"".join(r.sample for r in got), f"S{8 * (KEYS + 2)}"))
+    return raw[[len(raw) * k // buckets for k in range(1, buckets)]] if len(raw) else raw
 
-SUFFIX = "lead long, key long, full long, file long, place int, first int, last int"
 
+def suffixes(files: DataFrame, path: str, cuts: np.ndarray) -> DataFrame:
+    sent = files.sparkSession.sparkContext.broadcast(cuts)
 
-def suffixes(files: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -196,23 +250,44 @@ def suffixes(files: DataFrame, path: str) -> DataFrame:
             for f in b.column("file").to_pylist():
                 t = TextFile(f"{path}/{f:016x}")
                 for base, buf, ends in t.parts():
-                    p, a, z, lead = owned(buf, ends)
-                    if not len(p):
+                    got = rows_of(t, base, buf, ends)
+                    if got is None:
                         continue
-                    h = Hashes(buf)
-                    key = h.of(p, p + LEAD)
-                    full = mix(h.of(a, z + SPAN) ^ mix((((p - a) << 16) | (z - a)).astype(np.uint64)))
-                    cols = [lead.view(np.int64), key.view(np.int64), full.view(np.int64), np.full(len(p), f, np.int64), *((x + base).astype(np.int32) for x in (p, a, z))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["lead", "key", "full", "file", "place", "first", "last"])
-
-    return files.mapInArrow(run, SUFFIX)
+                    keys, full, first, last = got
+                    n = len(first)
+                    tie = mix(first.astype(np.uint64) ^ np.uint64(f))
+                    bucket = np.searchsorted(sent.value, sortable(keys, full, tie), "right") if len(sent.value) else np.zeros(n)
+                    cols = [bucket.astype(np.int32), *keys.view(np.int64), *(np.ascontiguousarray(full[:, c]).view(np.int64) for c in (0, 1)), np.full(n, f, np.int64), first.astype(np.int32), last.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", *NAMES, "full", "more", "file", "first", "last"])
+
+    return files.select("file").mapInArrow(run, SUFFIX)
+
+
+def multikey(keys: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by keys: by the first, then rows that are equal so far by the next, and so on."""
+    order = np.argsort(keys[0], kind="stable")
+    new = np.ones(len(order), bool)  # whether a row differs from the one before, so far
+    now = keys[0][order]
+    new[1:] = now[1:] != now[:-1]
+    for key in keys[1:]:
+        one = new.copy()
+        one[:-1] &= new[1:]
+        open_ = np.flatnonzero(~one)  # places of rows that some other equals so far
+        if not len(open_):
+            break
+        group = np.cumsum(new)[open_]
+        inner = np.lexsort((key[order[open_]], group))
+        order[open_] = order[open_[inner]]
+        now = key[order]
+        new[1:] |= now[1:] != now[:-1]
+    return order
 
 
 FOUND = "file long, first int, last int, gid long, many boolean, sure boolean"
 
 
-def scan(sorted_rows: DataFrame) -> DataFrame:
-    """Runs of equal suffixes in sorted buckets.
+def scan(dealt_rows: DataFrame) -> DataFrame:
+    """Sorts each bucket and finds its runs of equal suffixes.
 
     Rows with gid -1: the windows from first to last are repeats. Others are a group's members; sure: its windows
     are known to be repeats, and the member is there for others to be compared with; many: the run has more groups.
@@ -224,21 +299,20 @@ def scan(sorted_rows: DataFrame) -> DataFrame:
         k = TaskContext.get().partitionId()
         groups = 0
 
-        def settle(t: dict, begins: bool, ends: bool):
-            """Rows of whole runs; begins, ends: the first or last run touches the bucket's edge."""
+        def settle(t: dict):
+            """Rows of a sorted bucket; its first and last run touch its edges."""
             nonlocal groups
-            n = len(t["key"])
+            n = len(t["file"])
             new = np.ones(n, bool)
-            new[1:] = (t["key"][1:] != t["key"][:-1]) | (t["lead"][1:] != t["lead"][:-1])
+            new[1:] = np.any([t[c][1:] != t[c][:-1] for c in NAMES], axis=0)
             run_of = np.cumsum(new) - 1
             alike = np.ones(n, bool)
-            alike[1:] = new[1:] | (t["full"][1:] != t["full"][:-1])  # first rows of equal stretches
+            alike[1:] = new[1:] | (t["full"][1:] != t["full"][:-1]) | (t["more"][1:] != t["more"][:-1])  # first rows of equal stretches
             full_of = np.cumsum(alike) - 1
             copies = np.bincount(full_of)[full_of] > 1
             kinds = np.bincount(run_of, weights=alike).astype(np.int64)  # unequal stretches of each run
             edge = np.zeros(len(kinds), bool)
-            edge[0] |= begins
-            edge[-1] |= ends
+            edge[0] = edge[-1] = True
             member = alike & ((kinds > 1) | edge)[run_of]
             # the members of a run, in order, in groups of at most GROUP
             nth = np.cumsum(member) - 1
@@ -249,34 +323,24 @@ def scan(sorted_rows: DataFrame) -> DataFrame:
             gid = (k << 40) + groups + (np.cumsum(per_run) - per_run)[run_of] + inside
             groups += int(per_run.sum())
             many = ((per_run > 1) | edge)[run_of]
-            out = []
             for rows, ids in ((copies, None), (member, gid)):
                 i = np.flatnonzero(rows)
                 if len(i):
-                    out.append(pa.RecordBatch.from_arrays([pa.array(t["file"][i]), pa.array(t["first"][i]), pa.array(t["last"][i]), pa.array(np.full(len(i), -1) if ids is None else ids[i]), pa.array(many[i]), pa.array(copies[i])], names=["file", "first", "last", "gid", "many", "sure"]))
-            return out
+                    yield pa.RecordBatch.from_arrays([pa.array(t["file"][i]), pa.array(t["first"][i]), pa.array(t["last"][i]), pa.array(np.full(len(i), -1) if ids is None else ids[i]), pa.array(many[i]), pa.array(copies[i])], names=["file", "first", "last", "gid", "many", "sure"])
 
-        held: dict | None = None
-        begins = True
-        for b in batches:
-            if not b.num_rows:
-                continue
-            now = {c: b.column(c).to_numpy() for c in ("lead", "key", "full", "file", "first", "last")}
-            held = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in now}
-            n = len(held["key"])
-            change = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["lead"][1:] != held["lead"][:-1]))
-            cut = int(change[-1]) + 1 if len(change) else 0
-            if not cut and n > 200_000:  # a run that is longer than is to be held: its parts meet again as groups of many
-                yield from settle(held, True, True)
-                held, begins = None, True
-                continue
-            if cut:
-                yield from settle({c: x[:cut] for c, x in held.items()}, begins, False)
-                held, begins = {c: x[cut:] for c, x in held.items()}, False
-        if held is not None and len(held["key"]):
-            yield from settle(held, begins, True)
+        held = [b for b in batches if b.num_rows]
+        if held:
+            whole = pa.Table.from_batches(held)
+            del held
+            cols = {c: whole.column(c).to_numpy() for c in ("bucket", *NAMES, "full", "more", "file", "first", "last")}
+            del whole
+            order = multikey([cols["bucket"], *(cols[c].view(np.uint64) for c in (*NAMES, "full", "more"))])
+            cols = {c: x[order] for c, x in cols.items()}
+            cuts = [0, *(np.flatnonzero(cols["bucket"][1:] != cols["bucket"][:-1]) + 1).tolist(), len(order)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                yield from settle({c: v[x:y] for c, v in cols.items()})
 
-    return sorted_rows.mapInArrow(run, FOUND)
+    return dealt_rows.mapInArrow(run, FOUND)
 
 
 MEMBER = "gid long, many boolean, sure boolean, file long, first int, stretch binary"
@@ -299,7 +363,34 @@ def stretches(members: DataFrame, path: str) -> DataFrame:
 
 
 WINDOW = "file long, first int, last int, bucket int, open binary"
-OPEN = np.dtype([("hash", "<u8"), ("file", "<i8"), ("first", "<i4"), ("single", "u1")])
+OPEN = np.dtype([("hash", "<u8", 2), ("file", "<i8"), ("first", "<i4"), ("single", "u1")])
+
+
+def equal_windows(buf: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows of SPAN bytes of buf from start, class numbers that are equal for equal bytes in one group, and how often each is.
+
+    Hashes propose classes; in each, every window is compared with the one before it, byte for byte. Where hashes have
+    met by chance, the windows of that class are told apart by their bytes.
+    """
+    h = mix(group.astype(np.uint64)) ^ Hashes(buf).of(start, start + SPAN)
+    _, inv, count = np.unique(h, return_inverse=True, return_counts=True)
+    order = np.argsort(inv, kind="stable")
+    x, y = order[:-1], order[1:]
+    pair = inv[x] == inv[y]
+    x, y = x[pair], y[pair]
+    words = eights(buf)
+    bad = np.zeros(len(x), bool)
+    for k in range(0, SPAN, 8):
+        bad |= words[start[x] + k] != words[start[y] + k]
+    bad |= group[x] != group[y]
+    if bad.any():
+        for c in np.unique(inv[x[bad]]).tolist():
+            found: dict[tuple, int] = {}
+            for i in np.flatnonzero(inv == c).tolist():
+                inv[i] = found.setdefault((int(group[i]), buf[start[i] : start[i] + SPAN].tobytes()), len(count) + len(found))
+            count = np.concatenate([count, np.zeros(len(found), count.dtype)])
+        _, inv, count = np.unique(inv, return_inverse=True, return_counts=True)
+    return inv, count
 
 
 def compare(grouped: DataFrame, buckets: int) -> DataFrame:
@@ -322,12 +413,10 @@ def compare(grouped: DataFrame, buckets: int) -> DataFrame:
             row = np.repeat(np.arange(len(rows)), n)
             inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             start = at[row] + inside
-            h = Hashes(buf).of(start, start + SPAN)
             many, sure = (np.array([r[k] for r in rows])[row] for k in (1, 2))
             file, first = np.array([r[3] for r in rows])[row], np.array([r[4] for r in rows])[row] + inside
             # within a group (gid) only, for the counts over groups to hold
-            g = mix(np.array([r[0] for r in rows], np.int64).view(np.uint64))[row] ^ h
-            _, inv, count = np.unique(g, return_inverse=True, return_counts=True)
+            inv, count = equal_windows(buf, start, np.array([r[0] for r in rows], np.int64)[row])
             weight = np.bincount(inv, weights=sure) + count  # copies count twice
             twice = weight[inv] >= 2
             hit = twice & ~sure
@@ -338,12 +427,13 @@ def compare(grouped: DataFrame, buckets: int) -> DataFrame:
                 z = i[np.concatenate([new[1:], [True]])]
                 yield pa.RecordBatch.from_arrays([pa.array(file[a]), pa.array(first[a].astype(np.int32)), pa.array(first[z].astype(np.int32)), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=names)
             if many.any():
-                once = np.zeros(len(h), bool)
+                once = np.zeros(len(inv), bool)
                 once[np.unique(inv, return_index=True)[1]] = True
                 i = np.flatnonzero(many & once)
                 rec = np.zeros(len(i), OPEN)
-                rec["hash"], rec["file"], rec["first"], rec["single"] = h[i], file[i], first[i], ~twice[i]
-                b = (h[i] >> np.uint64(33)).astype(np.int64) % buckets
+                h = digests(buf.tobytes(), start[i], start[i] + SPAN)
+                rec["hash"], rec["file"], rec["first"], rec["single"] = h, file[i], first[i], ~twice[i]
+                b = (h[:, 0] >> np.uint64(33)).astype(np.int64) % buckets
                 order = np.argsort(b, kind="stable")
                 rec, b = rec[order], b[order]
                 cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
@@ -377,8 +467,11 @@ def over_groups(packed: DataFrame) -> DataFrame:
 
         def settle(held: list[bytes]):
             rec = np.frombuffer(b"".join(held), OPEN)
-            _, inv, n = np.unique(rec["hash"], return_inverse=True, return_counts=True)
-            hit = rec[(n[inv] > 1) & (rec["single"] > 0)]
+            rec = rec[np.lexsort((rec["hash"][:, 1], rec["hash"][:, 0]))]
+            new = np.ones(len(rec), bool)
+            new[1:] = (rec["hash"][1:] != rec["hash"][:-1]).any(axis=1)
+            run_of = np.cumsum(new) - 1
+            hit = rec[(np.bincount(run_of)[run_of] > 1) & (rec["single"] > 0)]
             first = pa.array(hit["first"].astype(np.int32))
             return pa.RecordBatch.from_arrays([pa.array(hit["file"].astype(np.int64)), first, first], names=["file", "first", "last"])
 
@@ -443,7 +536,9 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     prepare(spark)
     path = work_path(spark, "texts")
     files = store(docs_of(docs).select(F.col("doc_id").cast("long"), "text"), path)
-    found = written(scan(dealt(suffixes(spread(files), path), "lead", "key", "full", "file", "place")), "found")
+    buckets = max(partitions(spark), -(-files.count() // FILES))
+    cuts = splitters(files, buckets)
+    found = written(scan(suffixes(spread(files), path, cuts).repartitionById(buckets, F.col("bucket"))), "found")
     members = found.filter("gid >= 0")
     grouped = stretches(dealt(members.select("file", "first", "last", "gid", "many", "sure"), "file"), path).repartition("gid").sortWithinPartitions("gid")
     compared = written(compare(grouped, 8 * partitions(spark)), "windows")
