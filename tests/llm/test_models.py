@@ -10,36 +10,86 @@ import pytest
 from tarnlake.llm import langid, quality
 
 
+def brute_followers(docs, order, share):
+    """For each context (bytes, up to `order`, those common enough) how often each byte follows it."""
+    tree, size = {}, sum(map(len, docs))
+    for t in docs:
+        padded = bytes(order) + t
+        for i in range(order, len(padded)):
+            for d in range(order + 1):
+                tree.setdefault(padded[i - d : i], Counter())[padded[i]] += 1
+    return {c: n for c, n in tree.items() if sum(n.values()) * share >= size}
+
+
+def brute_shares(tree, context):
+    """The probability of every byte, by escapes from the longest context in the tree to shorter ones, without what those have seen."""
+    while context and context not in tree:
+        context = context[1:]
+    seen = tree[context]
+    inner = brute_shares(tree, context[1:]) if context else [1 / 256] * 256
+    total = sum(seen.values()) + (0 if len(seen) == 256 else len(seen))
+    left = sum(inner[b] for b in range(256) if b not in seen)
+    return [seen[b] / total if b in seen else len(seen) / total * inner[b] / left for b in range(256)]
+
+
+def brute_share(tree, context, byte):
+    return brute_shares(tree, context)[byte]
+
+
+def model_of(docs):
+    counts = {}
+    for d in range(langid.ORDER + 1):
+        key, n = np.unique(langid.grams(docs)[0] & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True)
+        context, which = np.unique(key >> np.uint64(8), return_inverse=True)
+        keep = (np.bincount(which, weights=n) * langid.SHARE >= sum(map(len, docs)))[which]
+        counts[d] = (key[keep], n[keep])
+    return langid.Tree([counts[d] for d in range(langid.ORDER + 1)])
+
+
+TEXTS = [b"abracadabra abra", "éa über".encode(), b"aa", b"", bytes(range(256)) * 2]
+
+
+def test_code_lengths_by_walking_the_contexts(monkeypatch):
+    monkeypatch.setattr(langid, "SHARE", 300)  # so that some contexts are in the tree and some are not
+    tree, brute = model_of(TEXTS), brute_followers(TEXTS, langid.ORDER, 300)
+    assert 0 < sum(len(c) == langid.ORDER for c in brute) < 400
+    for text in (b"abra", b"xyz", "ü".encode(), b"\x00\xff", b"cadabra"):
+        padded = bytes(langid.ORDER) + text
+        want = [-math.log2(brute_share(brute, padded[i - langid.ORDER : i], padded[i])) for i in range(langid.ORDER, len(padded))]
+        assert np.allclose(tree.lengths(langid.grams([text])[0]), want, rtol=1e-9)
+
+
 def test_code_lengths_are_a_distribution():
-    rng = np.random.default_rng(1)
-    n = (rng.random((64, 64, 64)) < 0.02) * rng.integers(1, 9, (64, 64, 64))
-    n[3, 4] = 5  # all followers seen: nothing is left to escape for
-    p = np.exp2(-langid.code_lengths(n))
-    assert np.allclose(p.sum(-1), 1, atol=1e-9)
-
-
-def test_code_length_by_hand():
-    """One text's bits by walking the contexts one byte after the other."""
-    code, _ = langid.folded([b"abracadabra abra"])
-    counts = np.bincount(code, minlength=langid.CODES).reshape(64, 64, 64)
-    table = langid.code_lengths(counts)
-
-    def followers(ctx):
-        return Counter({c: int(n) for c in range(64) if (n := (counts[ctx[0], ctx[1], c] if len(ctx) == 2 else counts[:, ctx[0], c].sum() if ctx else counts[..., c].sum()))})
-
-    def p(ctx, s):
-        """The longest context first; after an escape the shorter one, without what the longer has seen."""
-        seen = followers(ctx)
-        shorter = (lambda c: p(ctx[1:], c)) if ctx else (lambda c: 1 / 64)
-        if not seen:
-            return shorter(s)
-        total = sum(seen.values()) + len(seen)
-        if s in seen:
-            return seen[s] / total
-        return len(seen) / total * shorter(s) / sum(shorter(c) for c in range(64) if c not in seen)
-
-    for h, s in [((1, 2), 18), ((0, 0), 1), ((18, 1), 3), ((1, 2), 5), ((60, 61), 9), ((4, 1), 1)]:
-        assert math.isclose(p(h, s), 2 ** -table[h[0], h[1], s], rel_tol=1e-9)
+    tree = model_of(TEXTS[:3])
+    for context in (0, 0x61627261, 0x7A7A7A7A, 0x20616272):
+        key = np.arange(256, dtype=np.uint64) | np.uint64(context << 8)
+        assert math.isclose(np.exp2(-tree.lengths(key)).sum(), 1, rel_tol=1e-9)
+
+
+def test_texts_are_coded_apart_and_tables_may_be_small(monkeypatch):
+    trees = [model_of(TEXTS[:2]), model_of(TEXTS[2:])]
+    alone = np.array([[t.lengths(langid.grams([x])[0]).sum() for t in trees] for x in TEXTS])
+    monkeypatch.setattr(langid, "PART", 37)
+    for power in (22, 1):
+        costs = langid.Costs(trees)
+        costs.power = power
+        costs.keys, costs.bits = np.full(1 << power, (1 << 64) - 1, np.uint64), np.zeros((1 << power, 2), np.float32)
+        for _ in range(2):
+            assert np.allclose(langid.text_bits(TEXTS, costs), alone, rtol=1e-5)
+
+
+def test_predictions_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    words = {"x": ["das", "und", "über", "nicht"], "y": ["the", "and", "over", "not"], "z": ["кот", "и", "над", "не"]}
+    rows = [(k, " ".join(rng.choice(words[lang], 12)), lang) for k, lang in enumerate("xyzyx" * 5)] + [(90, "not und", None), (91, "кот the and", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs)).collect()}
+    trees = {lang: brute_followers([t.encode() for _, t, x in rows if x == lang], langid.ORDER, langid.SHARE) for lang in "xyz"}
+    for i, t, _ in rows[:6] + rows[-2:]:
+        padded = bytes(langid.ORDER) + t.encode()
+        bits = {x: -sum(math.log2(brute_share(tree, padded[j - langid.ORDER : j], padded[j])) for j in range(langid.ORDER, len(padded))) for x, tree in trees.items()}
+        best = min(bits, key=bits.get)
+        assert got[i].lang_pred == best and math.isclose(got[i].score, 1 / sum(2 ** (bits[best] - b) for b in bits.values()), rel_tol=1e-4)
 
 
 def test_language_id(spark, sf):
