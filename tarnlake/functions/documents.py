@@ -153,3 +153,55 @@ def json_group_object(k, v) -> Column:
 
 def if_(c, a, b) -> Column:
     return F.when(c, a).otherwise(b)
+
+
+KIND = {"STRING": "VARCHAR", "BOOLEAN": "BOOLEAN", "VOID": "NULL"}
+
+
+def kind_of(v: Column) -> Column:
+    """A variant's JSON type: OBJECT, ARRAY, VARCHAR, UBIGINT or BIGINT by sign, DOUBLE, BOOLEAN or NULL."""
+    t = F.schema_of_variant(v)
+    out = F.when(t.startswith("OBJECT"), "OBJECT").when(t.startswith("ARRAY"), "ARRAY")
+    for k, name in KIND.items():
+        out = out.when(t == k, name)
+    return out.when(t == "BIGINT", F.when(F.try_variant_get(v, "$", "bigint") < 0, "BIGINT").otherwise("UBIGINT")).when(t.isNotNull(), "DOUBLE")
+
+
+def variant_extract(v, at: str | int) -> Column:
+    """A field or (from 1) an element of a variant."""
+    return F.try_variant_get(_c(v), f"$.{at}" if isinstance(at, str) else f"$[{at - 1}]", "variant")
+
+
+def variant_typeof(v) -> Column:
+    return kind_of(_c(v))
+
+
+def json_group_structure(c) -> Column:
+    """The one structure that all documents of a group fit."""
+    return F.schema_of_variant_agg(F.try_parse_json(_c(c)))
+
+
+def constant_or_null(value, c) -> Column:
+    """value where c is not null."""
+    return F.when(_c(c).isNotNull(), value if isinstance(value, Column) else F.lit(value))
+
+
+def uuid_extract_version(c) -> Column:
+    return F.conv(F.substring(F.replace(_c(c).cast("string"), F.lit("-"), F.lit("")), 13, 1), 16, 10).cast("int")
+
+
+def uuid_extract_timestamp(c) -> Column:
+    """When a version 7 uuid was made."""
+    return F.timestamp_millis(F.conv(F.substring(F.replace(_c(c).cast("string"), F.lit("-"), F.lit("")), 1, 12), 16, 10).cast("long"))
+
+
+def uuidv7() -> Column:
+    """A uuid that begins with the time, in milliseconds, and is random after it."""
+    at, random = F.lpad(F.lower(F.hex(F.unix_millis(F.current_timestamp()))), 12, "0"), F.expr("uuid()")
+    return F.concat(F.substring(at, 1, 8), F.lit("-"), F.substring(at, 9, 4), F.lit("-7"), F.substring(random, 16, 21))
+
+
+def can_cast_implicitly(c, kind: str) -> Column:
+    """Whether the value is kept by a cast to the type and back."""
+    x = _c(c)
+    return x.try_cast(kind).isNotNull() | x.isNull()

@@ -265,3 +265,46 @@ def set_bit(c, i: int, v: int) -> Column:
 
 def bit_position(part, c) -> Column:
     return F.instr(_c(c), part) if isinstance(part, str) else F.locate(part, _c(c))
+
+
+def struct_concat(*structs: tuple) -> Column:
+    """One struct of the fields of several, each given as (struct, its field names); later fields must have other names."""
+    return F.struct(*(_c(x).getField(n).alias(n) for x, names in structs for n in names))
+
+
+def struct_position(c, value, names: list[str]) -> Column:
+    """The place, from 1, of the first of the named fields that holds the value; null if none does."""
+    v = value if isinstance(value, Column) else F.lit(value)
+    out = F.lit(None).cast("int")
+    for i, n in reversed(list(enumerate(names, 1))):
+        out = F.when(_c(c).getField(n).eqNullSafe(v), F.lit(i)).otherwise(out)
+    return out
+
+
+struct_indexof = struct_position
+
+
+def struct_contains(c, value, names: list[str]) -> Column:
+    return struct_position(c, value, names).isNotNull()
+
+
+struct_has = struct_contains
+
+
+def remap_struct(c, fields: dict[str, tuple[str | None, object]]) -> Column:
+    """A struct with other names and more fields: name -> (field of c or None, what stands in where there is none or a null)."""
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(*((lit(d) if src is None else F.coalesce(_c(c).getField(src), lit(d))).alias(n) for n, (src, d) in fields.items()))
+
+
+def sort_key(*columns: tuple) -> Column:
+    """One binary-free key that sorts as its columns do, each given as (column, descending, nulls first): compare as structs."""
+    parts = []
+    for i, (c, descending, first) in enumerate(columns):
+        x = _c(c)
+        parts.append(F.when(x.isNull(), 0 if first else 2).otherwise(1).alias(f"n{i}"))
+        parts.append((-x if descending else x).alias(f"v{i}"))
+    return F.struct(*parts)
+
+
+create_sort_key = sort_key

@@ -265,3 +265,37 @@ def right_grapheme(c, n: int) -> Column:
 
 def substring_grapheme(c, start: int, n: int) -> Column:
     return F.array_join(F.slice(F.regexp_extract_all(_c(c), F.lit(r"(\X)"), F.lit(1)), start, n), "")
+
+
+def strpos(c, part) -> Column:
+    """The place of a text in another, from 1; 0 where it is not."""
+    return F.position(part if isinstance(part, Column) else F.lit(part), _c(c))
+
+
+instr = strpos
+
+
+def formatReadableDecimalSize(n) -> Column:  # noqa: N802
+    return format_bytes(n, 1000)
+
+
+def formatReadableSize(n) -> Column:  # noqa: N802
+    return format_bytes(n, 1024)
+
+
+def string_to_array(c, sep: str) -> Column:
+    return string_split(c, sep)
+
+
+def regexp_split_to_table(c, pattern: str) -> Column:
+    """A row for each piece."""
+    return F.explode(string_split_regex(c, pattern))
+
+
+def array_slice(c, a: int, b: int) -> Column:
+    """Characters (or bytes) a..b, both included, from 1; negative from the end. Lists: list_slice."""
+    x = _c(c)
+    n = F.length(x)
+    start = F.lit(max(a, 1)) if a >= 0 else F.greatest(n + a + 1, F.lit(1))
+    end = F.lit(b) if b >= 0 else n + b + 1
+    return F.substring(x, start, F.greatest(end - start + 1, F.lit(0)))
