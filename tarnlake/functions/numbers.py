@@ -115,3 +115,15 @@ gamma, lgamma, nextafter = _doubles(_gamma), _doubles(_lgamma), _doubles(_after)
 def equi_width_bins(low, high, n: int) -> list[float]:
     """Upper bounds of n bins of equal width."""
     return [low + (high - low) * (k + 1) / n for k in range(n)]
+
+
+def add(a, b) -> Column:
+    return _c(a) + _c(b)
+
+
+def subtract(a, b) -> Column:
+    return _c(a) - _c(b)
+
+
+def multiply(a, b) -> Column:
+    return _c(a) * _c(b)

@@ -9,7 +9,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "custom", "statistics", "functions", "sources", "catalog", "suites")
+MODULES = ("relational", "custom", "statistics", "functions", "functions_more", "sources", "catalog", "suites")
 
 
 def items() -> dict:
