@@ -7,10 +7,12 @@ log-probabilities that one batched matrix product normalises exactly. A word of
 probability times its smoothed share of the class's training tokens, in which one share stands for unseen words.
 
 The work is cut into blocks of text. Each block is read once into a file of word numbers in the shared folder
-and a table of its distinct words; the words of all blocks meet once to be counted over the whole corpus (a
-word has at most a row a block, so no word is hot), and each block's counts return to a second file. Training
-passes over every training token of every block: each task goes through its blocks from common start values,
-and the tasks' parameters are averaged in a tree. Scoring is a pass over the same files.
+and a table of its distinct words with their counts. Counts are summed over the corpus, each task's first, and the most
+frequent words of the corpus become symbols; then each block's words are joined with the sums (a frequent word has a
+row for each block, and a join can be split where that is skewed), which return to a second file. Training
+passes over every training token of every block once, in ROUNDS rounds: in each, all tasks go through a part of each of
+their blocks from common start values, and their parameters are averaged in a tree to be the next round's start.
+Scoring is a pass over the same files.
 
 Defined results: a null text is empty and has the end alone; a null doc_id is scored and counts as held out
 neither way (held_out is null, and the text is not learned from); with no training token at all, every word is
@@ -24,10 +26,10 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import chunks, crc_mod, docs_of, get_bytes, prepare, put_bytes, spread, work_path, written
+from tarnlake.llm.common import chunks, crc_mod, docs_of, get_bytes, partitions, prepare, put_bytes, spread, work_path, written
 
 WORDS = 1023  # frequent words with a symbol of their own, after the end
 CLASSES = 384
@@ -37,7 +39,7 @@ DIM = 16
 NOISE = 24
 BATCH = 2048
 BLOCK_BYTES = 16 << 20
-COMMON = 20_000  # a word with a share of at least 1 in so many of a block's training tokens may get a symbol
+ROUNDS = 3
 SMOOTH = 0.1
 
 
@@ -50,7 +52,7 @@ class Numbers(dict):
 
 
 def read_blocks(docs: DataFrame, path: str) -> DataFrame:
-    """docs (doc_id, text, held) as files of word numbers; (block, idx, token, n, common) of each block's words.
+    """docs (doc_id, text, held) as files of word numbers; (block, idx, token, n) of each block's words.
 
     Number 0 is the end of a text, as the token of no bytes; n counts a word in training texts.
     """
@@ -74,12 +76,11 @@ def read_blocks(docs: DataFrame, path: str) -> DataFrame:
             flags = np.array([(i is None) | (h is not False) << 1 | (h is None) << 2 for _, i, h in rows], np.uint8)
             put_bytes(f"{path}/{block:016x}.seq", struct.pack("<q", len(rows)) + ids.tobytes() + sizes.tobytes() + flags.tobytes() + zstandard.ZstdCompressor(level=1).compress(flat.astype("<u4").tobytes()))
             words = list(number)
-            common = n * COMMON >= n.sum()
             for a in range(0, len(words), 20_000):
                 z = min(len(words), a + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(z - a, block)), pa.array(np.arange(a, z, dtype=np.int32)), pa.array(words[a:z], pa.binary()), pa.array(n[a:z]), pa.array(common[a:z] & (n[a:z] > 0))], names=["block", "idx", "token", "n", "common"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(z - a, block)), pa.array(np.arange(a, z, dtype=np.int32)), pa.array(words[a:z], pa.binary()), pa.array(n[a:z])], names=["block", "idx", "token", "n"])
 
-    return written(docs.mapInArrow(run, "block long, idx int, token binary, n long, common boolean"), "words")
+    return written(docs.mapInArrow(run, "block long, idx int, token binary, n long"), "words")
 
 
 class Block:
@@ -119,21 +120,20 @@ class Block:
             k = j
 
 
-def counted(words: DataFrame) -> tuple[DataFrame, list[bytes]]:
-    """(block, idx, c, symbol, first) of all blocks' words, with counts c over the corpus; and the words that are symbols."""
+def counted(words: DataFrame) -> DataFrame:
+    """(token, c, symbol) of all words, with counts c over the corpus."""
     spark = words.sparkSession
-    often = words.filter("common AND idx > 0").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(WORDS)
+    sums = written(words.groupBy("token").agg(F.sum("n").alias("c")), "sums")
+    often = sums.filter((F.length("token") > 0) & (F.col("c") > 0)).orderBy(F.desc("c"), "token").limit(WORDS)
     top = [bytes(r.token) for r in often.collect()]  # WORDS rows at most
     known = spark.createDataFrame([(t, k + 1) for k, t in enumerate(top)], "token binary, symbol int")
-    by = Window.partitionBy("token")
-    x = words.select("block", "idx", "token", F.sum("n").over(by).alias("c"), (F.row_number().over(by.orderBy("block")) == 1).alias("first"))
-    x = x.join(F.broadcast(known), "token", "left")
     other = F.lit(1 + WORDS) + (F.crc32(F.expr("substring(token, -2, 2)")) % CLASSES).cast("int")
-    return x.select("block", "idx", "c", F.when(F.length("token") == 0, 0).otherwise(F.coalesce("symbol", other)).alias("symbol"), "first"), top
+    x = sums.join(F.broadcast(known), "token", "left")
+    return x.select("token", "c", F.when(F.length("token") == 0, 0).otherwise(F.coalesce("symbol", other)).alias("symbol"))
 
 
-def return_counts(found: DataFrame, path: str) -> DataFrame:
-    """Writes each block's counts and symbols beside its texts; (block)."""
+def return_counts(words: DataFrame, sums: DataFrame, path: str) -> DataFrame:
+    """Writes the counts and symbols of each block's words beside its texts; (block)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -158,8 +158,8 @@ def return_counts(found: DataFrame, path: str) -> DataFrame:
         if held:
             yield put()
 
-    spark = found.sparkSession
-    rows = found.select("block", "idx", "c", "symbol").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").sortWithinPartitions("block", "idx")
+    met = written(words.select("block", "idx", "token").join(sums, "token").select("block", "idx", "c", "symbol"), "counted")
+    rows = met.repartition(partitions(words.sparkSession), "block").sortWithinPartitions("block", "idx")
     return written(rows.mapInArrow(run, "block long"), "blocks")
 
 
@@ -168,8 +168,9 @@ class Network:
 
     NAMES = ("q", "r", "s", "b")
 
-    def __init__(self, p: dict[str, np.ndarray]):
+    def __init__(self, p: dict[str, np.ndarray], sums: dict[str, np.ndarray] | None = None):
         self.p = p
+        self.sums = sums or {k: np.full_like(v, 0.02) for k, v in p.items()}  # of squared gradients: the steps' sizes
 
     @classmethod
     def start(cls, counts: np.ndarray) -> Network:
@@ -178,14 +179,16 @@ class Network:
         shape = lambda n: rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
         return cls({"q": shape(SYMBOLS + 1), "r": shape(SYMBOLS), "s": np.ones((CONTEXT, DIM), np.float32), "b": np.log(share).astype(np.float32)})
 
-    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], counts: np.ndarray, rate: float = 0.15) -> int:
-        """AdaGrad steps over (context, target) batches against noise of the symbols' frequencies; targets seen."""
-        rng = np.random.Generator(np.random.PCG64(5))
+    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], counts: np.ndarray, seed: tuple[int, ...] = (), rate: float = 0.15) -> int:
+        """AdaGrad steps over (context, target) batches against noise of the symbols' frequencies; targets seen.
+
+        Each call needs noise of its own (seed): what is drawn twice over is pushed down twice, and the rest never.
+        """
+        rng = np.random.Generator(np.random.PCG64([5, *seed]))
         share = (counts + 0.5) / (counts + 0.5).sum()
         edges = np.cumsum(share)
         lift = np.log(NOISE * share).astype(np.float32)
-        p = self.p
-        sums = {k: np.full_like(v, 0.02) for k, v in p.items()}
+        p, sums = self.p, self.sums
         seen = 0
 
         def scatter(i, g, n):
@@ -236,17 +239,20 @@ class Network:
         return out - table[pair]
 
     def dump(self) -> bytes:
-        return b"".join(self.p[k].astype("<f4").tobytes() for k in self.NAMES)
+        return b"".join(x[k].astype("<f4").tobytes() for x in (self.p, self.sums) for k in self.NAMES)
 
     @classmethod
     def load(cls, raw: bytes) -> Network:
         shapes = {"q": (SYMBOLS + 1, DIM), "r": (SYMBOLS, DIM), "s": (CONTEXT, DIM), "b": (SYMBOLS,)}
-        out, at = {}, 0
-        for k in cls.NAMES:
-            n = math.prod(shapes[k])
-            out[k] = np.frombuffer(raw, "<f4", n, at).reshape(shapes[k]).copy()
-            at += 4 * n
-        return cls(out)
+        both, at = [], 0
+        for _ in range(2):
+            out = {}
+            for k in cls.NAMES:
+                n = math.prod(shapes[k])
+                out[k] = np.frombuffer(raw, "<f4", n, at).reshape(shapes[k]).copy()
+                at += 4 * n
+            both.append(out)
+        return cls(*both)
 
 
 def contexts(sym: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,30 +266,10 @@ def contexts(sym: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def train(blocks: DataFrame, path: str, counts: np.ndarray) -> Network:
-    """A pass over all training tokens; the tasks' networks are averaged by their tokens, 32 at a time."""
+    """One pass over all training tokens, in ROUNDS; after each the tasks' networks are averaged by their tokens, 32 at a time."""
     spark = blocks.sparkSession
-    sent = spark.sparkContext.broadcast(counts)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        net, seen = Network.start(sent.value), 0
-
-        def data():
-            for b in batches:
-                for k in b.column("block").to_pylist():
-                    block = Block(path, k)
-                    for which, words, at in block.parts():
-                        learn = np.repeat(block.learn[which], block.sizes[which] + 1)
-                        sym = block.symbols[words]
-                        one, two = contexts(sym, at)
-                        one, two, sym = one[learn], two[learn], sym[learn]
-                        for a in range(0, len(sym), BATCH):
-                            z = slice(a, a + BATCH)
-                            yield (one[z], two[z]), sym[z]
-
-        seen = net.train(data(), sent.value)
-        yield pa.RecordBatch.from_pydict({"weight": pa.array([seen], pa.int64()), "raw": pa.array([net.dump()], pa.binary())})
+    form = "weight long, raw binary"
+    net = Network.start(counts)
 
     def mean(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -296,15 +282,45 @@ def train(blocks: DataFrame, path: str, counts: np.ndarray) -> Network:
         if weight:
             yield pa.RecordBatch.from_pydict({"weight": pa.array([weight], pa.int64()), "raw": pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())})
 
-    form = "weight long, raw binary"
-    nets = written(spread(blocks).mapInArrow(run, form), "nets").filter("weight > 0")
-    n = nets.count()
-    while n > 1:
-        n = -(-n // 32)
-        nets = written(nets.repartition(n).mapInArrow(mean, form), "nets")
-        n = min(n, nets.count())
-    found = nets.collect()  # one network
-    return Network.load(bytes(found[0].raw)) if found else Network.start(counts)
+    def part(turn: int, sent):
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            raw, counts = sent.value
+            net = Network.load(raw)
+
+            ids = [k for b in batches for k in b.column("block").to_pylist()]
+
+            def data():
+                for k in ids:
+                    block, at = Block(path, k), 0
+                    for which, words, begin in block.parts():
+                        learn = np.repeat(block.learn[which], block.sizes[which] + 1)
+                        sym = block.symbols[words]
+                        one, two = contexts(sym, begin)
+                        one, two, sym = one[learn], two[learn], sym[learn]
+                        for a in range(0, len(sym), BATCH):
+                            if at % ROUNDS == turn:
+                                z = slice(a, a + BATCH)
+                                yield (one[z], two[z]), sym[z]
+                            at += 1
+
+            seen = net.train(data(), counts, (turn, *ids[:1]))
+            yield pa.RecordBatch.from_pydict({"weight": pa.array([seen], pa.int64()), "raw": pa.array([net.dump()], pa.binary())})
+
+        return run
+
+    for turn in range(ROUNDS):
+        sent = spark.sparkContext.broadcast((net.dump(), counts))
+        nets = written(spread(blocks).mapInArrow(part(turn, sent), form), "nets").filter("weight > 0")
+        n = nets.count()
+        while n > 1:
+            n = -(-n // 32)
+            nets = written(nets.repartition(n).mapInArrow(mean, form), "nets")
+            n = min(n, nets.count())
+        found = nets.collect()  # one network
+        net = Network.load(bytes(found[0].raw)) if found else net
+    return net
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -348,10 +364,9 @@ def score_texts(docs: DataFrame, held) -> DataFrame:
     path = work_path(spark, "lm")
     x = docs_of(docs, held.alias("held")).select(F.col("doc_id").cast("long"), "text", "held")
     words = read_blocks(x, path)
-    found, _ = counted(words)
-    found = written(found, "counted")
-    blocks = return_counts(found, path)
-    per = found.filter("first AND c > 0").groupBy("symbol").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # SYMBOLS rows at most
+    sums = counted(words)
+    blocks = return_counts(words, sums, path)
+    per = sums.filter("c > 0").groupBy("symbol").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # SYMBOLS rows at most
     counts, kinds = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)
     for r in per:
         counts[r.symbol], kinds[r.symbol] = r.n, r.v
