@@ -215,6 +215,36 @@ def pack_examples(examples: DataFrame, limits: Limits) -> DataFrame:
     return x.mapInArrow(run, "example_id long, n_tokens long, n_loss long, sequence_id long, slot long, offset long, fits boolean")
 
 
+INSTRUCTIONS = Limits(tokens=1024, segments=8, loss=512)
+
+
+def conversation_examples(turns: DataFrame, tokenizer: str) -> DataFrame:
+    """Examples of instruction data from conversations (conv_id, role, text): the ids of all turns, each with an end id, of
+    which those of the assistant's turns bear loss. A null text is its end id alone; a null conv_id is one example."""
+    prepare(turns.sparkSession)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        encode = encoder(tokenizer)
+        width = int(encode.kind[-1])
+        for b in batches:
+            n = [len(encode.packed(t)) // width + 1 for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array(n, pa.int64()), b.column("loss")], names=["conv_id", "n", "loss"])
+
+    x = turns.select(F.col("conv_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("loss"))
+    counted = x.mapInArrow(run, "conv_id long, n long, loss boolean")
+    return counted.groupBy(F.col("conv_id").alias("example_id")).agg(F.sum("n").alias("n_tokens"), F.coalesce(F.sum(F.when(F.col("loss"), F.col("n"))), F.lit(0)).alias("n_loss"))
+
+
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, whole, in sequences of at most 1024 tokens, 8 segments and 512 loss-bearing tokens."""
+    import public_tokenizers
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return pack_examples(conversation_examples(turns, public_tokenizers.path("byte_bpe_50k.json")), INSTRUCTIONS)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens."""
     import public_tokenizers

@@ -176,3 +176,29 @@ def test_registered_secret_scan(spark, sf):
     assert len(got) == len(docs)
     for r in got:
         assert {k: r[k] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")} == brute_secrets(docs[r.doc_id]), r.doc_id
+
+
+def test_conversations_are_packed_under_all_three_limits(spark, sf):
+    turns = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        turns.setdefault(r.conv_id, []).append((r.role, len(PLAIN.encode(r.text or "", add_special_tokens=False).ids) + 1))
+    got = packing.pack_conversations(spark, sf).collect()
+    lim = packing.INSTRUCTIONS
+    assert {r.example_id: (r.n_tokens, r.n_loss) for r in got} == {c: (sum(n for _, n in t), sum(n for role, n in t if role == "assistant")) for c, t in turns.items()}
+    seqs, full = {}, set()
+    for r in got:
+        seqs.setdefault(r.sequence_id, []).append(r)
+    for rs in seqs.values():
+        rs.sort(key=lambda r: r.slot)
+        sums = sum(r.n_tokens for r in rs), len(rs), sum(r.n_loss for r in rs)
+        assert [r.offset for r in rs] == [sum(x.n_tokens for x in rs[:k]) for k in range(len(rs))]
+        assert len(rs) == 1 or sums[0] <= lim.tokens and sums[1] <= lim.segments and sums[2] <= lim.loss
+        assert all(r.fits == (r.n_tokens <= lim.tokens and r.n_loss <= lim.loss) for r in rs)
+
+
+def test_each_limit_decides_where_it_is_the_tight_one():
+    """Short examples fill segments, long ones tokens, and examples that are all answer the loss-bearing tokens."""
+    for piece, want in (((1, 1), (8, 1)), ((512, 1), (2, 0)), ((128, 128), (4, 2))):
+        packer = packing.Packer(packing.INSTRUCTIONS, False)
+        seqs = [s for k in range(64) for s in packer.add(packing.Piece(k, 0, *piece))] + packer.finish()
+        assert sum(map(len, seqs)) == 64 and max(map(len, seqs)) == want[0]
