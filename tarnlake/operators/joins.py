@@ -28,6 +28,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     """
     if op not in (">=", ">", "<=", "<"):
         raise ValueError(op)
+    if not by and how in ("inner", "left", "semi", "anti"):
+        return _asof_by_ranges(left, right, left_on, right_on, op, how)
     keys = [f"__k{i}" for i in range(len(by))]
     dead = lambda df, cols: reduce(lambda a, b: a | b, (F.col(c).isNull() for c in cols))
     at, ends = "__at", op in (">=", "<=")
@@ -63,6 +65,35 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     return out
 
 
+def _cuts(df: DataFrame, c: str, n: int) -> list:
+    """Up to n values that cut a column into ranges of about as many rows each; n bounds what comes to the driver."""
+    found = df.agg(F.percentile_approx(c, [k / n for k in range(1, n)], 10_000).alias("q")).first()["q"]
+    return sorted(set(found or []))
+
+
+def _place(cuts: list, like: DataFrame, c: str, value: Column) -> Column:
+    """Which range a value lies in: how many cuts are below it."""
+    at = F.array(*(F.lit(x).cast(like.schema[c].dataType) for x in cuts)) if cuts else F.array().cast("array<int>")
+    return F.size(F.filter(at, lambda x: x < value)) if cuts else F.lit(0)
+
+
+def _asof_by_ranges(left: DataFrame, right: DataFrame, left_on: str, right_on: str, op: str, how: str) -> DataFrame:
+    """asof_join without keys: both sides by ranges of the time, each of which also gets the right row that is nearest
+    before (or after) it, so that no task holds a whole side."""
+    known = right.filter(F.col(right_on).isNotNull())
+    cuts = _cuts(known, right_on, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    back = op in (">=", ">")
+    r = known.withColumn("__tl_rr", _place(cuts, right, right_on, F.col(right_on)))
+    pick = F.max_by if back else F.min_by
+    edge = r.groupBy("__tl_rr").agg(pick(_struct(right), F.col(right_on)).alias("row"))
+    every = left.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("range"))
+    w = Window.orderBy(F.col("range") if back else F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    carried = every.join(F.broadcast(edge), every["range"] == edge["__tl_rr"], "left").select(F.last("row", ignorenulls=True).over(w).alias("row"), "range").filter("row IS NOT NULL")
+    r = r.unionAll(carried.select(*(F.col(f"row.`{c}`").alias(c) for c in right.columns), F.col("range").alias("__tl_rr")))
+    x = left.withColumn("__tl_lr", _place(cuts, right, right_on, F.col(left_on)))
+    return asof_join(x, r, left_on, right_on, [("__tl_lr", "__tl_rr")], op, how).drop("__tl_lr", "__tl_rr")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width: float, by: list[tuple[str, str]] = []) -> DataFrame:  # noqa: B006
     """Pairs whose closed intervals overlap: two inequalities, as an equality join on bins of `width`.
 

@@ -43,6 +43,45 @@ def test_asof(spark, op, how):
     assert joins.asof_join(a.limit(0), b, "t", "t2", [("k", "k2")], op, "left").count() == 0
 
 
+@pytest.mark.parametrize("op", [">=", ">", "<=", "<"])
+@pytest.mark.parametrize("how", ["inner", "left", "semi", "anti"])
+def test_asof_without_keys(spark, op, how):
+    rng = random.Random(f"{op}{how}")
+    left = [(i, 1, rng.choice([None, *range(-5, 400)])) for i in range(150)]
+    right = [(i, 1, t) for i, t in enumerate([*rng.sample(range(380), 60), None, None])]
+    a, b = spark.createDataFrame(left, "i int, k int, t int").repartition(5), spark.createDataFrame(right, "j int, k2 int, t2 int").repartition(3)
+    got = joins.asof_join(a, b, "t", "t2", [], op, how)
+    cols = ["i"] if how in ("semi", "anti") else ["i", "j"]
+    assert sorted(map(tuple, got.select(*cols).collect()), key=str) == brute_asof(left, right, op, how)
+    assert joins.asof_join(a, b.limit(0), "t", "t2", [], op, "left").count() == len(left)
+
+
+@pytest.mark.parametrize("op", [">=", ">", "<=", "<"])
+def test_one_inequality(spark, op):
+    rng = random.Random(op)
+    left = [(i, rng.choice([None, *range(60)])) for i in range(90)]
+    right = [(i, rng.choice([None, *range(50)])) for i in range(70)]
+    a, b = spark.createDataFrame(left, "i int, x int"), spark.createDataFrame(right, "j int, y int")
+    ok = {">=": lambda p, q: p >= q, ">": lambda p, q: p > q, "<=": lambda p, q: p <= q, "<": lambda p, q: p < q}[op]
+    want = sorted((i, j) for i, p in left for j, q in right if None not in (p, q) and ok(p, q))
+    assert sorted((r.i, r.j) for r in joins.inequality_join(a, b, "x", op, "y").collect()) == want
+    assert joins.inequality_join(a, b.limit(0), "x", op, "y").count() == 0
+    assert sorted((r.i, r.j) for r in joins.choose_join(a, b, compare=[("x", op, "y"), ("i", "<", "j")]).collect()) == [p for p in want if p[0] < p[1]]
+
+
+def test_merge_errors_and_nulls(spark):
+    t = spark.createDataFrame([(1, 10), (2, 20), (None, 30)], "k int, v int")
+    s = spark.createDataFrame([(1, 5), (1, 6), (None, 7), (9, 8)], "k int, v int")
+    read = lambda df: sorted(map(tuple, df.collect()), key=str)
+    with pytest.raises(Exception, match="several rows"):
+        rows.merge_into(t, s, ["k"], {"v": F.col("s_v")}).collect()
+    assert read(rows.merge(t, s, ["k"], [("matched", None, "nothing"), ("not matched", None, "insert")]).filter("k IS NULL OR k > 1")) == sorted([(2, 20), (None, 30), (None, 7), (9, 8)], key=str)
+    with pytest.raises(Exception, match="clause that is an error"):
+        rows.merge(t, s, ["k"], [("not matched", F.col("s_k") == 9, "error")]).collect()
+    got = rows.merge(t, s.filter("k = 9 OR k IS NULL"), ["k"], [("not matched", None, "insert"), ("not matched by source", F.col("k") == 2, "delete")], returning=True)
+    assert read(got) == sorted([(None, 7, "INSERT"), (9, 8, "INSERT"), (2, 20, "DELETE")], key=str)
+
+
 def test_range_joins(spark):
     rng = random.Random(2)
     a = [(i, x, x + rng.randint(0, 60)) for i in range(60) for x in [rng.randint(-100, 100)]] + [(99, 5, 1), (98, None, 3)]
