@@ -16,7 +16,17 @@ def _c(x) -> Column:
 
 
 def _micros(c) -> Column:
-    return F.unix_micros(_c(c).cast("timestamp"))
+    """Microseconds of a wall clock since 1970, by its fields: a session's zone, and its clock changes, do not matter."""
+    x = _c(c).cast("timestamp_ntz")
+    clock = (F.hour(x) * 3600 + F.minute(x) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), x) * 1_000_000).cast("long")
+    return F.unix_date(F.to_date(x)).cast("long") * 86_400_000_000 + clock
+
+
+def _at(micros: Column) -> Column:
+    """The wall clock so many microseconds after 1970 began."""
+    day = F.floor(micros / F.lit(86_400_000_000))
+    seconds = (F.pmod(micros, F.lit(86_400_000_000)).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.date_from_unix_date(day.cast("int")).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def _months(c) -> Column:
@@ -100,13 +110,15 @@ def date_trunc(part: str, c) -> Column:
         start = F.floor(F.year(x) / n) * n if part == "decade" else F.floor((F.year(x) - 1) / n) * n + 1
         start = F.floor(F.year(x) / n) * n if part != "decade" else start
         return F.make_date(start.cast("int"), F.lit(1), F.lit(1)).cast("timestamp_ntz")
-    return F.date_trunc(part, x.cast("timestamp")).cast("timestamp_ntz")
+    if part.lower() in MICROS:
+        return _at(F.floor(_micros(x) / MICROS[part.lower()]) * MICROS[part.lower()])
+    return (x.cast("date") if part.lower() == "day" else F.trunc(x.cast("date"), part)).cast("timestamp_ntz")
 
 
 def time_bucket(micros: int, c, origin: str = "2000-01-03 00:00:00") -> Column:
     """The start of the bucket of a fixed width that a time lies in; buckets count from the origin, a Monday."""
     at = _micros(F.lit(origin).cast("timestamp_ntz"))
-    return F.timestamp_micros(F.floor((_micros(c) - at) / micros) * micros + at).cast("timestamp_ntz")
+    return _at(F.floor((_micros(c) - at) / micros) * micros + at)
 
 
 def last_day(c) -> Column:
@@ -172,4 +184,4 @@ def make_time(h, m, s) -> Column:
 
 
 def make_timestamp_ns(n) -> Column:
-    return F.timestamp_micros(F.floor(_c(n) / 1000)).cast("timestamp_ntz")
+    return _at(F.floor(_c(n) / 1000))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.functions import fn
 from tarnlake.operators import joins, rows, windows
 from tarnlake.session import table
 
@@ -51,7 +52,7 @@ def row_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filled(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").groupBy("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t")).agg(F.max("value").alias("m"))
+    e = table(spark, d, "events").groupBy("user_id", F.floor(fn.epoch("ts")).alias("t")).agg(F.max("value").alias("m"))
     e = e.withColumn("v", F.when(F.col("t") % 3 == 0, F.round("m", 3)))
     return e.select("user_id", "t", F.round(windows.fill("v", "t", ["user_id"]), 4).alias("f"))
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def _timed(events: DataFrame, late: str | None) -> DataFrame:
+    if not events.isStreaming:
+        return events.withColumn("at", F.col("ts"))  # windows of a wall clock stay on it, whatever the session's zone
     x = events.withColumn("at", F.col("ts").cast("timestamp"))
-    return x.withWatermark("at", late) if late and events.isStreaming else x
+    return x.withWatermark("at", late) if late else x
 
 
 def tumbling(events: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
