@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import ascii_lower
+from tarnlake.llm.common import ascii_lower, written
 
 WINDOW = 13
 #: Distinct windows up to which they are broadcast (about 300 bytes each); beyond, the join is shuffled.
@@ -31,11 +31,11 @@ def words_of(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows (gram) with the items that hold them."""
+    """Distinct (gram, item): windows and the items that hold them."""
     x = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - F.lit(size - 1), F.lit(1)))
     x = x.select("item", "w", F.explode(starts).alias("s")).select("item", F.slice("w", F.col("s"), F.lit(size)).alias("gram"))
-    return x.groupBy("gram").agg(F.collect_set("item").alias("items"))
+    return x.distinct()
 
 
 def word_counts(docs: DataFrame, vocabulary: DataFrame, small: bool) -> DataFrame:
@@ -45,17 +45,16 @@ def word_counts(docs: DataFrame, vocabulary: DataFrame, small: bool) -> DataFram
     return docs.select(F.explode("w").alias("word")).join(vocabulary, "word").groupBy("word").count()
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, th, start, n, items): every place where a window occurs. docs: doc_id, th and words w."""
-    grams = windows(benchmark, size).cache()
+def occurrences(docs: DataFrame, grams: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(doc_id, th, start, n, gid): every place where a window occurs. docs: doc_id, th and words w; grams: gid and gram."""
     small = grams.count() <= BROADCAST_WINDOWS
     vocabulary = grams.select(F.explode("gram").alias("word")).distinct()
     counts = word_counts(docs, vocabulary, small)
     # the rarest word of each window, and its first place there; a word that no document has ends the search for it
-    placed = grams.select("gram", "items", F.posexplode("gram").alias("place", "word")).join(F.broadcast(counts) if small else counts, "word", "left")
+    placed = grams.select("gid", "gram", F.posexplode("gram").alias("place", "word")).join(F.broadcast(counts) if small else counts, "word", "left")
     rank = F.struct(F.coalesce("count", F.lit(0)).alias("count"), "word", "place")
-    rare = placed.groupBy("gram").agg(F.min(rank).alias("r"), F.first("items").alias("items")).filter("r.count > 0")
-    rare = rare.select(F.col("r.word").alias("word"), F.col("r.place").alias("place"), "gram", "items", F.size("gram").alias("n"))
+    rare = placed.groupBy("gid").agg(F.min(rank).alias("r"), F.first("gram").alias("gram")).filter("r.count > 0")
+    rare = rare.select(F.col("r.word").alias("word"), F.col("r.place").alias("place"), "gram", "gid", F.size("gram").alias("n"))
     at = F.col("p") - F.col("place")
     inside = (at >= 0) & (at + F.col("n") <= F.col("n_words"))
     if small:  # the words travel along as they are until the comparison, in the same stage
@@ -66,20 +65,23 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Da
         met = docs.select("doc_id", "th", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("p", "word"))
         met = met.select("doc_id", "th", "n_words", "p", "word", around.alias("near"), F.least("p", F.lit(size - 1)).alias("back"))
         met = met.join(rare, "word").filter(inside).filter(F.slice("near", F.col("back") - F.col("place") + 1, F.col("n")) == F.col("gram"))
-    return met.select("doc_id", "th", at.alias("start"), "n", "items")
+    return met.select("doc_id", "th", at.alias("start"), "n", "gid")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per row of docs: n_words, n_hit, items (sorted ids as strings) and contaminated."""
     x = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("w"))
-    found = occurrences(x, benchmark, size).distinct()
+    held = windows(benchmark, size)
+    grams = written(held.select("gram").distinct().withColumn("gid", F.monotonically_increasing_id()), "windows")
+    found = occurrences(x, grams, size).distinct()
     by_doc = Window.partitionBy("doc_id", "th").orderBy("start", "n")
     reached = F.max(F.col("start") + F.col("n")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     end = F.col("start") + F.col("n")
     fresh = F.greatest(end - F.greatest("start", F.coalesce(reached, F.lit(0))), F.lit(0))
-    hits = found.select("doc_id", "th", "items", fresh.alias("fresh")).groupBy("doc_id", "th").agg(
-        F.sum("fresh").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
-    )
+    # a hit carries its window's number; lists of items are made a document, from its distinct windows
+    hits = found.select("doc_id", "th", "gid", fresh.alias("fresh")).groupBy("doc_id", "th").agg(F.sum("fresh").cast("long").alias("n_hit"), F.collect_set("gid").alias("gids"))
+    items = hits.select("doc_id", "th", "n_hit", F.explode("gids").alias("gid")).join(held.join(grams, "gram").select("gid", "item"), "gid")
+    hits = items.groupBy("doc_id", "th").agg(F.first("n_hit").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n_hit", "items")
     rows = x.select("doc_id", "th", F.size("w").cast("long").alias("n_words"))
     y = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
