@@ -27,11 +27,35 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder, reread: lineage is cut, and a lost executor costs no recomputation."""
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder, reread: lineage is cut, and a lost executor costs no recomputation.
+
+    What the write shuffled is not needed once it is done, and goes at its end.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    held = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if held is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, held)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tl_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of written that nothing reads any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._tl_path)
+        at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def local_path(path: str) -> str | None:
@@ -164,7 +188,7 @@ class WordEncoder:
     WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
     LONG = 64
 
-    def __init__(self, name: str, most: int = 500_000):
+    def __init__(self, name: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -269,6 +293,11 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def release() -> None:
+    """Frees the encoders' tables: for workers that turn to other work of their own size."""
+    _ENCODERS.clear()
+
+
 def encoder(name: str) -> WordEncoder:
     """The process's encoder for a tokenizer file: later tasks of a worker find the pieces of earlier ones."""
     if name not in _ENCODERS:

@@ -21,11 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import crc_mod, docs_of, prepare, texts
+from tarnlake.llm.common import crc_mod, docs_of, prepare, release, texts
 
 WORDS = 4096
 RANK = 4
 MAX_TRAIN = 6000
+ROWS = 1024  # rows of which a step's gradient is taken at once
 
 #: Character classes: lower, upper, digit, space, line end, each of some signs, other ASCII, beyond ASCII.
 SIGNS = b".,&%$#*|!?<>/="
@@ -42,7 +43,10 @@ STATS = CLASSES + 9
 class Features:
     """Features of one text: word buckets, their values, and statistics. Buckets of words are kept in a bounded table."""
 
-    def __init__(self, most: int = 500_000):
+    NUMBERS = list(range(WORDS))
+
+    def __init__(self, most: int = 100_000):
+        release()
         self.most, self.known = most, {}
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +56,7 @@ class Features:
         if None in got:
             if len(known) > self.most:
                 known.clear()
-            got = [known[w] if w in known else known.setdefault(w, zlib.crc32(w) & WORDS - 1) for w in words]
+            got = [known[w] if w in known else known.setdefault(w, self.NUMBERS[zlib.crc32(w) & WORDS - 1]) for w in words]
         stats = np.zeros(STATS, np.float32)
         buf = np.frombuffer(text, np.uint8)
         n, m = max(1, len(buf)), max(1, len(words))
@@ -108,34 +112,46 @@ def fit_rows(rows: list[tuple], y: np.ndarray, steps: int = 150, rate: float = 0
         return still
     stats = np.stack([r[2] for r in rows])
     still.mean, still.scale = stats.mean(0), np.maximum(stats.std(0), 1e-4)
-    x = np.zeros((len(rows), dims), np.float32)
-    for k, (i, v, _) in enumerate(rows):
-        x[k, i] = v
-    x[:, WORDS:] = still.scaled(stats)
     test = np.arange(len(rows)) % 10 == 9
     if len(rows) < 50 or not 0 < y[test].mean() < 1:
         test[:] = False
-    xt, yt, xv, yv = x[~test], y[~test].astype(np.float32), x[test], y[test]
+    order = np.argsort(test, kind="stable")  # the rows that pick the step come last; both parts are views of one matrix
+    x = np.zeros((len(rows), dims), np.float32)
+    for k, r in enumerate(order.tolist()):
+        x[k, rows[r][0]] = rows[r][1]
+    x[:, WORDS:] = still.scaled(stats)[order]
+    y = y[order].astype(np.float32)
+    n = int((~test).sum())
+    yt, yv = y[:n], y[n:]
     p = [np.array([still.bias], np.float32), np.zeros(dims, np.float32), rng.normal(0, 0.02, (dims, RANK)).astype(np.float32)]
     m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     best, least = None, np.inf
-    square = xt * xt
 
     def margin(a, a2):
         q = a @ p[2]
         return p[0] + a @ p[1] + 0.5 * ((q * q).sum(1) - a2 @ (p[2] * p[2]).sum(1)), q
 
+    def gradients() -> list[np.ndarray]:
+        """Summed over blocks of rows, so that nothing of the matrix's size is made beside it."""
+        out = [np.zeros(1, np.float32), decay * p[1], decay * p[2]]
+        for k in range(0, n, ROWS):
+            a = x[k : min(k + ROWS, n)]
+            a2 = a * a
+            z, q = margin(a, a2)
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - yt[k : k + ROWS]) / n
+            out[0] = out[0] + e.sum(keepdims=True)
+            out[1] = out[1] + a.T @ e
+            out[2] = out[2] + a.T @ (e[:, None] * q) - p[2] * (a2.T @ e)[:, None]
+        return out
+
     for step in range(1, steps + 1):
-        z, q = margin(xt, square)
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - yt) / len(yt)
-        grads = [e.sum(keepdims=True), xt.T @ e + decay * p[1], xt.T @ (e[:, None] * q) - p[2] * (square.T @ e)[:, None] + decay * p[2]]
-        for k, g in enumerate(grads):
+        for k, g in enumerate(gradients()):
             m[k] = 0.9 * m[k] + 0.1 * g
             s[k] = 0.99 * s[k] + 0.01 * g * g
             p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
         if step % 10 == 0 or step == steps:
             if len(yv):
-                z, _ = margin(xv, xv * xv)
+                z = np.concatenate([margin(x[k : k + ROWS], x[k : k + ROWS] ** 2)[0] for k in range(n, len(x), ROWS)])
                 loss = float(np.mean(np.logaddexp(0, np.where(yv > 0, -z, z))))
             else:
                 loss = -step

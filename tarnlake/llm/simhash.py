@@ -23,13 +23,14 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import docs_of, prepare, texts, written
+from tarnlake.llm.common import bit_table, docs_of, forget, marked, prepare, release, texts, written
 from tarnlake.llm.graph import components
 
 RADIUS = 3
@@ -130,27 +131,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return fps.join(classes(fps), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-SEEDS = (42, 43, 44, 45)
-LEAST = 4  # bytes of a word that counts in keep_one's fingerprints: shorter ones are alike in all texts of a language
+LEAST = 4  # bytes of a word that counts in keep_one's fingerprints (of texts that have such): shorter ones are alike in all texts of a language
 SHINGLE = 5
 ALIKE = (4, 5)  # texts are alike if the similarity of their sets of shingles is this fraction or more
-BITS = 1 << 23
 COMMON_DOCS = 20_000  # texts, about, of which common shingles are learnt; they say which shingles go last, and change no result
 MOST_COMMON = 200_000
-PARITY = 16  # longs of parities of a text's shingles: sets of few differences differ in no more of these bits
+PARITY = 16  # longs of parities of a set of shingles: sets of few differences differ in no more of these bits
+SMALL = 500  # shingles a part, up to twice as many: more would fill the bits of their parities
+CENTRES = 6  # rounds, at most, in which a group's texts are compared with one centre; what is left then is compared by pairs
+FEW = 2000  # texts left by centres that are compared by pairs at once; either way tells the same of every pair
 
+_rng = np.random.Generator(np.random.PCG64(77))
+PLACES = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """The distinct 64-bit hashes, in order, of a text's runs of SHINGLE words; of fewer words, that of all."""
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    h = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return np.array([h(joined)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-SHINGLE]]).tolist()
-    return np.unique(np.array([h(joined[a:z]) for a, z in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def shingles(w: np.ndarray) -> np.ndarray:
+    """The distinct 64-bit hashes, in order, of a text's runs of SHINGLE words, from hashes of its words; of fewer words, that of all."""
+    n = len(w)
+    if n <= SHINGLE:
+        return mixed(np.array([int((w * PLACES[:n]).sum()) ^ n], np.uint64))
+    run = w[: n - SHINGLE + 1] * PLACES[0]
+    for k in range(1, SHINGLE):
+        run += w[k : n - SHINGLE + 1 + k] * PLACES[k]
+    return np.unique(mixed(run))
 
 
 def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -169,6 +184,24 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
+def parts(s: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """A text's shingles in numbered parts by their remainders, one part of few shingles, of more a power of two.
+
+    If two sets are alike then so are the parts of one remainder at least, as shares of the whole average out; so texts
+    that are alike have a part alike, and parts of a size are all that need be searched. How many parts a text has
+    follows from its size. Where a text that is alike may be small enough to have half as many, both cuts are there.
+    """
+    n, out = len(s), []
+    power = max(0, (n // SMALL).bit_length() - 1)
+    for c in {power, max(0, power - 1)} if n * ALIKE[0] < SMALL * ALIKE[1] << power else {power}:
+        if c == 0:
+            out.append((1, s))
+        else:
+            which = (s >> np.uint64(40)).astype(np.int64) & ((1 << c) - 1)
+            out += [((1 << c) | j, s[which == j]) for j in range(1 << c)]
+    return [(part, x) for part, x in out if len(x)]
+
+
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that three or more of about COMMON_DOCS distinct texts of docs (rk, text) hold, and how many do."""
 
@@ -177,7 +210,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         for b in batches:
             for t in texts(b):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.lower().split()).view(np.int64))], names=["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(word_hashes(t.lower().split())).view(np.int64))], names=["key"])
 
     some = docs.filter(F.pmod("rk", F.lit(max(1, docs.count() // COMMON_DOCS))) == 0).dropDuplicates(["rk"])
     found = some.select("text").mapInArrow(run, "key long").groupBy("key").count().filter("count > 2")
@@ -187,9 +220,12 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], n[order]
 
 
+PARTS = "array<struct<part:int,n:int,keys:array<bigint>,odd:array<bigint>>>"
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """Of docs (rk, doc_id, text): th, a hash of the words; a fingerprint for each of SEEDS of the words of LEAST or
-    more bytes; the number of distinct shingles, those of their prefix, and parities of all.
+    """Of docs (rk, doc_id, text): th and th2, hashes of the words; the fingerprint of the words of LEAST or more bytes;
+    the number of distinct shingles, and their parities; and for each part of them the number, the prefix and parities.
     """
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs.select("rk", "text")))
 
@@ -197,40 +233,37 @@ def sketches(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        h = xxhash.xxh64_intdigest
+        longs = pa.list_(pa.int64())
+        release()
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), longs, pa.list_(pa.struct([("part", pa.int32()), ("n", pa.int32()), ("keys", longs), ("odd", longs)]))]
         for b in batches:
-            th, fps, n, keys, odd = [], [], [], [], []
+            out: list[tuple] = []
             for t in texts(b):
                 words = t.lower().split()
-                th.append(signed(h(b" ".join(words))))
-                long = [w for w in words if len(w) >= LEAST] or words
-                own = []
-                for seed in SEEDS:
-                    x = np.array([h(w, seed) for w in long], np.uint64)
-                    count = np.zeros(64, np.int64)
-                    for k in range(0, len(x), 8192):
-                        count += np.unpackbits(x[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-                    own.append(int(np.packbits(count * 2 > len(x), bitorder="little").view(np.int64)[0]))
-                fps.append(own)
-                s = shingles(words)
-                n.append(len(s))
-                keys.append(prefix(s, *common.value).view(np.int64))
-                odd.append(parities(s))
-            yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("doc_id"), pa.array(th, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["rk", "doc_id", "th", "fps", "n", "keys", "odd"])
+                joined = b" ".join(words)
+                w = word_hashes(words)
+                long = np.fromiter(map(len, words), np.int32, len(words)) >= LEAST
+                x = w[long] if long.any() else w
+                count = np.zeros(64, np.int64)
+                for k in range(0, len(x), 8192):
+                    count += np.unpackbits(x[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+                fp = int(np.packbits(count * 2 > len(x), bitorder="little").view(np.int64)[0])
+                s = shingles(w)
+                mine = [{"part": k, "n": len(y), "keys": prefix(y, *common.value).view(np.int64), "odd": parities(y)} for k, y in parts(s)]
+                out.append((signed(xxhash.xxh64_intdigest(joined)), signed(xxhash.xxh64_intdigest(joined, 1)), fp, len(s), parities(s), mine))
+            yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True))], names=["rk", "doc_id", "th", "th2", "fp", "n", "odd", "parts"])
 
-    return docs.mapInArrow(run, "rk long, doc_id long, th long, fps array<long>, n int, keys array<long>, odd array<long>")
+    return docs.mapInArrow(run, f"rk long, doc_id long, th long, th2 long, fp long, n int, odd array<long>, parts {PARTS}")
 
 
-def bit_table(rks: DataFrame) -> DataFrame:
-    """A table of BITS bits, of bounded size, of those that stand for hashes rk."""
-    bits = rks.select(F.pmod("rk", F.lit(BITS)).alias("bit"))
-    return bits.groupBy(F.floor(F.col("bit") / 64).alias("__tl_word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("__tl_bits"))
+DIFFER = " + ".join(f"bit_count(odd_a[{k}] ^ odd_b[{k}])" for k in range(PARITY))
+CAN = f"{ALIKE[1]} * least(n_a, n_b) >= {ALIKE[0]} * greatest(n_a, n_b) AND {sum(ALIKE)} * ({DIFFER}) <= {ALIKE[1] - ALIKE[0]} * (n_a + n_b)"
 
 
-def marked(df: DataFrame, rk: str, table: DataFrame) -> DataFrame:
-    """df with __tl_maybe: whether the bit of its hash rk is set in table, as it is for all hashes that made it."""
-    held = df.join(F.broadcast(table), F.floor(F.pmod(rk, F.lit(BITS)) / 64) == F.col("__tl_word"), "left")
-    return held.withColumn("__tl_maybe", F.coalesce(F.expr(f"(shiftright(__tl_bits, cast(pmod({rk}, {BITS}) % 64 as int)) & 1) = 1"), F.lit(False)))
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that can be alike by their numbers of shingles and the parities that differ."""
+    x, y = (nodes.select(F.col("th").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").filter(CAN).select("a", "b")
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -240,7 +273,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("rk"), pa.array([shingles(t.lower().split()).tobytes() for t in texts(b)], pa.binary())], names=["rk", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("rk"), pa.array([shingles(word_hashes(t.lower().split())).tobytes() for t in texts(b)], pa.binary())], names=["rk", "s"])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -254,85 +287,146 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     pairs = written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     need = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
     need = written(nodes.join(need, "th", "left_semi").select("th", "rk"), "need")
     texts_of = marked(docs, "rk", bit_table(need)).filter("__tl_maybe").select("rk", "text").dropDuplicates(["rk"])
     sets = written(texts_of.mapInArrow(whole, "rk long, s binary").join(need, "rk").select("th", "s"), "sets")
     x, y = (sets.select(F.col("th").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "alike")
+    out = written(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "alike")
+    forget(pairs, need, sets)
+    return out
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of unequal nodes once each, the smaller first."""
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def proposed(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes by linked fingerprints, at most one a node and seed; what they leave apart, later pairs join."""
-    # fingerprints of different seeds are as far apart as any two by chance, so all go through one search
-    mine = nodes.select("th", F.explode("fps").alias("fp"))
-    stands = written(mine.groupBy("fp").agg(F.min("th").alias("stand")), "stands")
-    same = mine.join(stands, "fp").filter("th <> stand").select(F.col("th").alias("a"), F.col("stand").alias("b"))
+    """Pairs (a, b) of nodes by linked fingerprints, at most one a node; what they leave apart, later pairs join."""
+    stands = written(nodes.groupBy("fp").agg(F.min("th").alias("stand")), "stands")
+    same = nodes.select("th", "fp").join(stands, "fp").filter("th <> stand").select(F.col("th").alias("a"), F.col("stand").alias("b"))
     edges = links(stands.select("fp")).groupBy("a").agg(F.min("b").alias("b"))
     x, y = (stands.select(F.col("fp").alias(c), F.col("stand").alias(f"s{c}")) for c in "ab")
     return same.unionAll(edges.join(x, "a").join(y, "b").select("sa", "sb"))
 
 
-def apart(met: DataFrame, place: DataFrame) -> DataFrame:
-    """All pairs (a, b) that share a key of met (key, th, n, pos), are of different groups of place (th, root, odd), and
-    can be alike by the numbers of their shingles, the places of that key, and the parities that differ."""
+def apart(met: DataFrame, place: DataFrame, bits: DataFrame) -> DataFrame:
+    """All pairs (a, b) that share a key of met (key, th, part, n, pos), are of different groups of place (th, root), and have
+    a part that can be alike by its numbers of shingles, the places of that key, and the parities (of bits) that differ."""
     rows = met.join(place.select("th", "root"), "th")
-    w = Window.partitionBy("key")
+    w = Window.partitionBy("key", "part")
     rows = rows.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).filter("low <> high")
-    rows = written(rows.select("key", "th", "root", "n", "pos").join(place.select("th", "odd"), "th"), "apart")
-    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("th", "root", "n", "pos", "odd"))) for s in "ab")
+    rows = written(rows.select("key", "th", "part", "root", "n", "pos").join(bits, ["th", "part"]), "apart")
+    x, y = (rows.select("key", "part", *(F.col(c).alias(f"{c}_{s}") for c in ("th", "root", "n", "pos", "odd"))) for s in "ab")
     p, q = ALIKE
-    differ = " + ".join(f"bit_count(odd_a[{k}] ^ odd_b[{k}])" for k in range(PARITY))
-    can = f"{q} * least(n_a, n_b) >= {p} * greatest(n_a, n_b) AND {p + q} * (least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b)) >= {p} * (n_a + n_b)"
-    can += f" AND {p + q} * ({differ}) <= {q - p} * (n_a + n_b)"
-    return x.join(y, "key").filter(f"th_a < th_b AND root_a <> root_b AND {can}").select(F.col("th_a").alias("a"), F.col("th_b").alias("b")).distinct()
-
-
-def groups(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(th, first, root) of nodes (th, first, rk, fps, n, keys, odd): the components of all pairs of texts that are alike.
-
-    Alike texts share a shingle of their prefixes, so the pairs that share one are all there can be. Most need not
-    be compared: each node is first compared with the one under its keys whose own keys are shared most (a base
-    of edited copies keeps all keys that they have), and with what fingerprints propose. Of the pairs left, those
-    that lie in one group by then change nothing; all others are compared.
+    can = f"{CAN} AND {p + q} * (least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b)) >= {p} * (n_a + n_b)"
+    out = written(ordered(x.join(y, ["key", "part"]).filter(f"th_a < th_b AND root_a <> root_b AND {can}").select(F.col("th_a").alias("a"), F.col("th_b").alias("b"))), "pairs")
+    forget(rows)
+    return out
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def independent(edges: DataFrame) -> DataFrame:
+    """(th) of the nodes of edges (a, b) that go, so that those that stay are no one's neighbours and all that go have a
+    neighbour that stays: each round keeps whoever has more neighbours than all of its own that are left."""
+    both = written(both_ways(edges).distinct(), "edges")
+    rank = both.groupBy("a").agg(F.struct(F.count("*").alias("n"), F.col("a").alias("th")).alias("rank"))
+    both = written(both.join(rank, "a").join(rank.select(F.col("a").alias("b"), F.col("rank").alias("other")), "b"), "edges")
+    gone = []
+    while not both.isEmpty():
+        keep = both.groupBy("a").agg(F.max("other").alias("top"), F.first("rank").alias("rank")).filter("rank > top").select("a")
+        out = written(both.join(keep, "a").select(F.col("b").alias("th")).distinct(), "gone")
+        gone.append(out)
+        done = out.unionAll(keep)
+        now = written(both.join(done, both.a == done.th, "left_anti").join(done, both.b == done.th, "left_anti"), "edges")
+        forget(both)
+        both = now
+    return reduce(DataFrame.unionAll, gone) if gone else edges.select(F.col("a").alias("th")).limit(0)
+
+
+def that_go(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(th) of the nodes (th, first, rk, fp, n, odd, parts) that are alike to one that stays; no two that stay are alike.
+
+    Alike texts have a part alike, and so share a shingle of its prefixes: the pairs that share one are all there can be. Not all need
+    be compared. Groups come first: each node is compared with the one under its keys whose own keys are shared
+    most (a base of edited copies keeps all keys that they have), and with what fingerprints propose; of the pairs
+    left, those that lie in one component of alike pairs by then do not change the groups, and all others are compared.
+    Then each group gets a centre, the node that is alike to most; who is alike to it goes, told by an own comparison,
+    and the centre stays. A node that only a chain ties to the centre is not alike to it, and is left for a next
+    round, with a next centre. When FEW are left, or after CENTRES rounds, they are compared by all pairs of theirs.
     """
-    keys = nodes.select("th", "n", F.size("keys").alias("p"), F.posexplode("keys").alias("pos", "key"))
-    met = keys.withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1")
+    each = nodes.select("th", F.explode("parts").alias("x")).select("th", "x.part", "x.n", "x.keys", "x.odd")
+    keys = each.select("th", "part", "n", F.size("keys").alias("p"), F.posexplode("keys").alias("pos", "key"))
+    met = keys.withColumn("many", F.count("*").over(Window.partitionBy("key", "part"))).filter("many > 1")
     met = written(met, "met")
-    share = met.groupBy("th").agg((F.sum(F.log("many")) / F.first("p")).alias("share"))
-    hub = F.max(F.struct("share", "th")).over(Window.partitionBy("key"))
-    hubs = met.select("key", "th").join(share, "th").select("th", hub.alias("hub")).filter("hub.th <> th").groupBy("th").agg(F.max("hub").alias("hub"))
-    pairs = proposed(nodes).unionAll(hubs.select("th", "hub.th")).filter("a <> b")
-    alike = similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, docs)
-
-    def placed(alike: DataFrame) -> DataFrame:
-        roots = components(alike)
-        return nodes.join(roots, nodes.th == roots.node, "left").select("th", "first", "odd", F.coalesce("root", "th").alias("root"))
-
-    rest = similar(apart(met, placed(alike)), nodes, docs)
-    return placed(alike.unionAll(rest))
+    bits = each.select("th", "part", "odd")
+    share = met.groupBy("th", "part").agg((F.sum(F.log("many")) / F.first("p")).alias("share"))
+    hub = F.max(F.struct("share", "th")).over(Window.partitionBy("key", "part"))
+    hubs = met.select("key", "th", "part").join(share, ["th", "part"]).select("th", hub.alias("hub")).filter("hub.th <> th").groupBy("th").agg(F.max("hub").alias("hub"))
+    pairs = ordered(proposed(nodes).unionAll(hubs.select("th", "hub.th")))
+    first = similar(possible(pairs, nodes), nodes, docs)
+    groups = components(first)
+    place = nodes.join(groups, nodes.th == groups.node, "left").select("th", F.coalesce("root", "th").alias("root"))
+    rest = apart(met, place, bits)
+    more = similar(rest, nodes, docs)
+    edges = written(first.unionAll(more).distinct(), "alike")
+    # groups that later pairs join: their roots are nodes of a graph of their own, as small as those pairs are few
+    ends = more.select("a", "b").join(place.select(F.col("th").alias("a"), F.col("root").alias("ra")), "a").join(place.select(F.col("th").alias("b"), F.col("root").alias("rb")), "b")
+    joined = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    roots = place.join(both_ways(edges).select(F.col("a").alias("th")).distinct(), "th").join(joined, F.col("root") == F.col("old"), "left").select(F.col("th").alias("node"), F.coalesce("new", "root").alias("root"))
+    degree = both_ways(edges).groupBy("a").agg(F.count("*").alias("degree"))
+    left = written(roots.join(degree, roots.node == degree.a).join(nodes.select("th", "first"), roots.node == F.col("th")).select("th", "root", "degree", "first"), "left")
+    gone = []
+    for turn in range(CENTRES):
+        if left.count() <= (FEW if turn else 0):
+            break
+        best = F.struct("degree", F.coalesce(-F.col("first"), F.lit(-(1 << 62))).alias("id"), "th")  # of equals the smaller doc_id
+        centres = left.groupBy("root").agg(F.max(best).alias("best")).select(F.col("root").alias("croot"), F.col("best.th").alias("centre"))
+        to = written(left.join(centres, left.root == centres.croot).filter("th <> centre").select("th", "root", "degree", "first", "centre", F.least("th", "centre").alias("a"), F.greatest("th", "centre").alias("b")), "to")
+        unknown = similar(possible(to.join(edges, ["a", "b"], "left_anti").select("a", "b"), nodes), nodes, docs)
+        alike = edges.unionAll(unknown).distinct()
+        gone.append(written(to.join(alike, ["a", "b"], "left_semi").select("th"), "gone"))
+        now = written(to.join(gone[-1], "th", "left_anti").select("th", "root", "degree", "first"), "left")
+        forget(left, to)
+        left = now
+    if not left.isEmpty():
+        pairs = apart(met, left.select("th", F.col("th").alias("root")), bits)
+        gone.append(independent(similar(pairs, nodes, docs)))
+    forget(met)
+    return written(reduce(DataFrame.unionAll, gone), "gone") if gone else nodes.select("th").limit(0)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that of the smallest doc_id (null last); all columns stay.
+    """docs without near-duplicates; all columns stay.
 
-    Groups are the components of all pairs of texts whose sets of shingles of SHINGLE words are alike (see groups).
-    Null texts are empty, and alike. Of rows that repeat a doc_id within a group, one stays.
+    A row goes only if its text has the words of one that stays, or if the two sets of shingles of SHINGLE words have a
+    similarity of 0.8 or more; no two rows that stay are so alike. Which one stays: the text of a group that is alike to
+    most of it, and of rows with the same words the one of the smallest doc_id (null last), once. So a group of
+    copies of one base leaves one row, and a chain of ever more changed texts one for each stretch of alike ones. Null
+    texts are empty, and alike. Texts whose 64-bit hashes meet by chance stay, all of them.
     """
     spark = docs.sparkSession
     prepare(spark)
     rk = F.xxhash64(F.coalesce("text", F.lit("")))
     plain = docs.select(rk.alias("rk"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = written(sketches(plain), "sketches")
-    nodes = written(rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.min("rk").alias("rk"), F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd")), "nodes")
-    place = groups(nodes, plain)
-    least = place.groupBy("root").agg(F.min("first").alias("low"))
-    # rows that go: of a group with more rows than one, all but those of its smallest doc_id
-    goes = rows.select("rk", "doc_id", "th").join(place.select("th", "root"), "th").join(least, "root").select("rk", "doc_id", "root", "low")
-    drop = written(goes.filter("low IS NOT NULL AND NOT doc_id <=> low").select(F.col("rk").alias("__tl_drk"), F.col("doc_id").alias("__tl_id")).distinct(), "drop")
-    low = goes.filter("doc_id <=> low").groupBy("root", "doc_id", "rk").count()
-    more = Window.partitionBy("root", "doc_id")  # an id may repeat in other groups, whose rows are not these
-    twice = written(low.withColumn("n", F.sum("count").over(more)).filter("n > 1").select(F.col("rk").alias("__tl_trk"), F.col("doc_id").alias("__tl_id"), F.col("root").alias("__tl_root")), "twice")
+    held = ["fp", "n", "odd", "parts"]
+    nodes = rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"), F.min("rk").alias("rk"), *(F.first(c).alias(c) for c in held), (F.min("th2") == F.max("th2")).alias("one"))
+    nodes = written(nodes.filter("one").drop("one"), "nodes")
+    gone = that_go(nodes, plain)
+    # rows that go: those of a text that goes, and of one that stays all but those of its smallest doc_id
+    fate = nodes.select("th", "first", "times").join(gone.select("th", F.lit(True).alias("goes")), "th", "left").filter("goes OR times > 1")
+    of = written(rows.select("rk", "doc_id", "th").join(fate.select("th", "first", "goes"), "th"), "fate")
+    drop = written(of.filter("goes OR NOT doc_id <=> first").select(F.col("rk").alias("__tl_drk"), F.col("doc_id").alias("__tl_id")).distinct(), "drop")
+    low = of.filter("goes IS NULL AND doc_id <=> first").groupBy("th", "doc_id", "rk").count()
+    more = Window.partitionBy("th", "doc_id")  # an id may repeat with other texts, whose rows are not these
+    twice = written(low.withColumn("n", F.sum("count").over(more)).filter("n > 1").select(F.col("rk").alias("__tl_trk"), F.col("doc_id").alias("__tl_id"), F.col("th").alias("__tl_root")), "twice")
     # texts are shuffled only where a table of bits says that they may have to go
     table = bit_table(drop.select(F.col("__tl_drk").alias("rk")).unionAll(twice.select("__tl_trk")))
     held = marked(docs.withColumn("__tl_rk", rk), "__tl_rk", table)
