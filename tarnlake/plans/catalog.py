@@ -129,7 +129,7 @@ def schemas(spark: SparkSession, d: str) -> DataFrame:
         spark.sql(f"INSERT INTO {name}.made VALUES (99, 'NOWHERE')")
         said = statements.analyze(spark, f"{name}.made").filter("name = 'Statistics'").first()["value"]
         columns = [r.column_name for r in io.columns(spark, f"{name}.made").collect()]
-        listed = [t.name for t in spark.catalog.listTables(name)]
+        listed = [t.name for t in spark.catalog.listTables(name) if not t.isTemporary]
     finally:
         statements.drop(spark, "SCHEMA", name, cascade=True)
     there = any(x.name == name for x in spark.catalog.listDatabases())

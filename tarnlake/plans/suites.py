@@ -38,8 +38,8 @@ FLIGHTS = {
 GROUPS = {
     "group_1": same("SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS v FROM lineitem GROUP BY l_returnflag"),
     "group_2": same("SELECT l_returnflag, l_linestatus, CAST(sum(l_linenumber) AS BIGINT) AS v FROM lineitem GROUP BY l_returnflag, l_linestatus"),
-    "group_3": same("SELECT l_partkey, CAST(sum(l_linenumber) AS BIGINT) AS v, round(avg(l_quantity), 6) AS q FROM lineitem GROUP BY l_partkey"),
-    "group_4": same("SELECT l_suppkey, round(avg(l_linenumber), 6) AS a, round(avg(l_quantity), 6) AS b, round(avg(l_discount), 6) AS c FROM lineitem GROUP BY l_suppkey"),
+    "group_3": same("SELECT l_partkey, CAST(sum(l_linenumber) AS BIGINT) AS v, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY l_partkey"),
+    "group_4": same("SELECT l_suppkey, CAST(sum(l_linenumber) AS BIGINT) AS a, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS b, CAST(avg(CAST(l_discount * 100 AS DECIMAL(9,4))) AS DECIMAL(9,3)) > 5 AS c FROM lineitem GROUP BY l_suppkey"),
     "group_5": same("SELECT l_orderkey, CAST(sum(l_linenumber) AS BIGINT) AS a, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS b FROM lineitem GROUP BY l_orderkey"),
     "group_6": same("SELECT l_returnflag, l_suppkey, median(l_quantity) AS md, round(stddev_samp(l_quantity), 5) AS sd FROM lineitem GROUP BY l_returnflag, l_suppkey"),
     "group_7": same("SELECT l_partkey, max(l_linenumber) - min(l_suppkey) AS r FROM lineitem GROUP BY l_partkey"),
@@ -62,7 +62,7 @@ LOG = {
     "log_minutes": same("SELECT user_id, minute(ts) AS m, event_type, count(*) AS n FROM events GROUP BY user_id, minute(ts), event_type ORDER BY n DESC, user_id, m, event_type LIMIT 10"),
     "log_one_user": same("SELECT event_id, ts FROM events WHERE user_id = 31 ORDER BY ts LIMIT 10"),
     "log_longest": same("SELECT event_type, round(avg(length(props)), 5) AS l, count(*) AS n FROM events GROUP BY event_type HAVING count(*) > 100"),
-    "log_days": same("SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY date_trunc('day', ts)"),
+    "log_days": same("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY CAST(ts AS DATE)"),
     "log_hours": same("SELECT hour(ts) AS h, event_type, count(*) AS n FROM events GROUP BY hour(ts), event_type"),
     "log_wide": same("SELECT " + ", ".join(f"CAST(sum(user_id + {k}) AS BIGINT) AS s{k}" for k in range(40)) + " FROM events"),
     "log_offset": same("SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10 OFFSET 20"),
