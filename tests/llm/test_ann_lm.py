@@ -97,3 +97,45 @@ def test_probabilities_sum_to_one():
     for a, b in ((5, 7), (lm.SYMBOLS, lm.SYMBOLS), (0, lm.SYMBOLS)):
         p = net.log_probabilities((np.full(lm.SYMBOLS, a, np.int32), np.full(lm.SYMBOLS, b, np.int32)), every, table)
         assert math.isclose(float(np.exp(p.astype(float)).sum()), 1, abs_tol=1e-3)
+
+
+def test_scores_by_brute_force(spark, monkeypatch):
+    """The column score: each token's probability by a full softmax over all symbols, and its share of its class."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "éa") for b in ("n", "st", "ng", "")] + ["The", "END"]
+    rows = [(k, " ".join(rng.choice(vocabulary, rng.integers(0, 30)))) for k in range(60)] + [(77, None), (78, "neverseen ka")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: kept.append(train(*a)) or kept[-1])
+    got = {r.doc_id: r for r in lm.score_texts(df, lm.crc_mod(10) == 0).collect()}
+    p = kept[0].p
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    c = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    top = {w: k + 1 for k, (w, _) in enumerate(sorted(((w, n) for w, n in c.items() if w), key=lambda x: (-x[1], x[0]))[: lm.WORDS])}
+    symbol = lambda w: 0 if not w else top.get(w) or 1 + lm.WORDS + zlib.crc32(w[-2:]) % lm.CLASSES
+    n_class, v_class = Counter(), Counter()
+    for w, n in c.items():
+        n_class[symbol(w)] += n
+        v_class[symbol(w)] += 1
+    for i, t in rows:
+        want, before = 0.0, (lm.SYMBOLS, lm.SYMBOLS)
+        for w in tokens(t):
+            k = symbol(w)
+            z = (p["q"][before[0]] * p["s"][0] + p["q"][before[1]] * p["s"][1]).astype(float) @ p["r"].T.astype(float) + p["b"].astype(float)
+            want += (z[k] - np.log(np.exp(z - z.max()).sum()) - z.max()) / math.log(10)
+            if k > lm.WORDS:
+                want += math.log10((c[w] + 0.1) / (n_class[k] + 0.1 * (v_class[k] + 1)))
+            before = (k, before[0])
+        assert math.isclose(got[i].score, want, rel_tol=1e-4, abs_tol=1e-3), i
+
+
+def test_noise_is_each_round_and_tasks_own():
+    counts = np.full(lm.SYMBOLS, 5)
+    sym = np.arange(lm.SYMBOLS, dtype=np.int32)
+    one = (np.full(lm.SYMBOLS, 3, np.int32), np.full(lm.SYMBOLS, 4, np.int32))
+    nets = []
+    for seed in ((0, 1), (0, 1), (0, 2), (1, 1)):
+        net = lm.Network.start(counts)
+        net.train(iter([(one, sym)]), counts, seed)
+        nets.append(net.dump())
+    assert nets[0] == nets[1] and len(set(nets)) == 3

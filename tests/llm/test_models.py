@@ -1,6 +1,7 @@
 """Language identification and quality: exact identities, held-out accuracy and edge cases."""
 
 import math
+import zlib
 from itertools import combinations
 from collections import Counter
 
@@ -121,6 +122,45 @@ def test_pairwise_identity():
         assert math.isclose(got, 1 / (1 + math.exp(-z)), rel_tol=1e-6)
 
 
+def brute_features(text):
+    """Word buckets with their values, and the statistics, by their definitions."""
+    raw = text.encode()
+    words = raw.lower().split()
+    counts = Counter(zlib.crc32(w) & 4095 for w in words)
+    v = {b: math.log1p(n) for b, n in counts.items()}
+    norm = max(1e-6, math.sqrt(sum(x * x for x in v.values())))
+    signs = b".,&%$#*|!?<>/="
+
+    def kind(b):
+        if 97 <= b <= 122 or 65 <= b <= 90 or 48 <= b <= 57:
+            return 0 if b >= 97 else 1 if b >= 65 else 2
+        if b in b"\t \n\r":
+            return 3 if b in b"\t " else 4
+        return 5 + signs.index(b) if b in signs else 5 + len(signs) if b < 128 else 6 + len(signs)
+
+    share = Counter(map(kind, raw))
+    n, m, lines = max(1, len(raw)), max(1, len(words)), raw.split(b"\n")
+    top = sorted(counts.values())[-3:] or [0]
+    buckets = [zlib.crc32(w) & 4095 for w in words]
+    stats = [share[k] / n for k in range(7 + len(signs))]
+    stats += [math.log1p(len(raw)), math.log1p(len(words)), len(raw) / m / 10, len(set(words)) / m, top[-1] / m, sum(top) / m]
+    stats += [sum(a == b for a, b in zip(buckets, buckets[1:])) / m, 1 - len(set(lines)) / len(lines), len(lines) / m]
+    return {b: x / norm for b, x in v.items()}, stats
+
+
+def test_quality_scores_by_brute_force(spark, sf):
+    """The registered query's model on whole texts: every pair's product, one by one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    machine = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: (r.text or "")[:300] for r in docs.limit(12).collect()} | {-1: "", -2: "Ünï = <b>1</b>\n\n&&& &&& the the"}
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), machine).collect()}
+    for i, t in texts.items():
+        words, stats = brute_features(t)
+        x = words | {quality.WORDS + k: min(4, max(-4, (s - machine.mean[k]) / machine.scale[k])) / 4 for k, s in enumerate(stats)}
+        z = machine.bias + sum(machine.w[k] * a for k, a in x.items()) + sum(float(machine.v[a] @ machine.v[b]) * x[a] * x[b] for a, b in combinations(x, 2))
+        assert math.isclose(got[i], 1 / (1 + math.exp(-z)), rel_tol=1e-3, abs_tol=1e-6), (i, got[i], 1 / (1 + math.exp(-z)))
+
+
 def test_quality_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}

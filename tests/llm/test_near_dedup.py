@@ -16,36 +16,35 @@ def test_repeated_ids_go_only_within_their_group(spark):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-def brute(texts, n=5):
-    """For each text the smallest index of its component, over all pairs of similarity 4/5 or more."""
-    sets = []
+def sets_of(texts, n=5):
+    out = []
     for t in texts:
         w = t.lower().split()
-        sets.append({" ".join(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) > n else {" ".join(w)})
-    root = list(range(len(texts)))
+        out.append({" ".join(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) > n else {" ".join(w)})
+    return out
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            both = len(a & b)
-            if both * 5 >= 4 * (len(a) + len(b) - both):
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    return [find(i) for i in range(len(texts))]
+def alike(a, b):
+    both = len(a & b)
+    return both * 5 >= 4 * (len(a) + len(b) - both)
 
 
 def prose(rng, n):
     return ["".join(rng.choice(["an", "er", "st", "ou", "ti", "re", "lo", "ka"]) for _ in range(rng.randint(1, 4))) for _ in range(n)]
 
 
-def check(spark, texts):
+def check(spark, texts, most=None):
+    """Against all pairs: who went is alike to one that stayed, and no two that stayed are alike."""
     rows = [(i, t, len(t)) for i, t in enumerate(texts)]
     got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, COLUMNS)).collect())
-    assert got == sorted(set(brute(texts)))
+    sets = sets_of(texts)
+    assert len(set(got)) == len(got)
+    for i in got:
+        assert not any(alike(sets[i], sets[j]) for j in got if j < i), i
+    for i in set(range(len(texts))) - set(got):
+        assert any(alike(sets[i], sets[j]) for j in got), i
+    assert most is None or len(got) <= most
+    return got
 
 
 def test_large_groups_that_meet_only_at_their_base(spark):
@@ -62,9 +61,43 @@ def test_large_groups_that_meet_only_at_their_base(spark):
         copies.insert(rng.randrange(size), " ".join(base))
         texts += copies
     rng.shuffle(texts)
+    check(spark, texts, most=3)
+
+
+def test_chains_leave_one_for_each_stretch(spark):
+    """Neighbours are alike, ends are not: a text goes only for one that it is itself alike to."""
+    rng = random.Random(9)
+    texts = []
+    for length in (12, 40):
+        w = prose(rng, 300)
+        for k in range(length):
+            texts.append(" ".join(w))
+            for j in range(2):
+                w[(k * 37 + j * 150) % 300] = f"step{rng.randrange(10**9)}"
+    got = check(spark, texts)
+    assert 4 <= len(got) <= 30
+
+
+def test_many_clusters_in_one_chain(spark):
+    """Clusters of mutually alike texts, tied to each other by texts between them."""
+    rng = random.Random(10)
+    w, texts = prose(rng, 200), []
+    for _ in range(9):
+        for _ in range(8):
+            v = list(w)
+            v[rng.randrange(200)] = f"own{rng.randrange(10**9)}"
+            texts.append(" ".join(v))
+        for _ in range(5):
+            w[rng.randrange(200)] = f"on{rng.randrange(10**9)}"
+    rng.shuffle(texts)
     check(spark, texts)
 
 
+def test_equal_texts_keep_the_smallest_id_and_colliding_hashes_stay(spark, monkeypatch):
+    rows = [(5, "a b c d e f g", 1), (3, "A b c  d e f g", 1), (None, "a b c d e f g", 1), (3, "a b c d e f g", 1), (8, "other text", 1)]
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, COLUMNS)).collect()) == [3, 8]
+
+
 def test_appended_passages_and_scattered_edits_near_the_threshold(spark):
     rng = random.Random(4)
     line = prose(rng, 25)
@@ -88,5 +121,4 @@ def test_similarity_is_exact_at_the_threshold(spark):
     for k in range(60):  # of 1000 shingles and 250 or 251 more: a similarity of 0.8 or just less
         w = [f"w{rng.randrange(10**12)}" for _ in range(1004 + 250 + k % 2)]
         texts += [" ".join(w[:1004]), " ".join(w)]
-    assert len(set(brute(texts))) == 90
-    check(spark, texts)
+    assert len(check(spark, texts)) == 90
