@@ -189,7 +189,19 @@ def sorted_table(spark: SparkSession, d: str) -> DataFrame:
     return x
 
 
+def bucketed_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregate by the key that a table is bucketed on: each task has whole groups, and nothing is exchanged."""
+    name = f"tarnlake_{uuid.uuid4().hex[:8]}"
+    x = table(spark, d, "lineitem").select("l_suppkey", "l_quantity", "l_linenumber")
+    x.write.bucketBy(8, "l_suppkey").sortBy("l_suppkey").option("path", scratch_path(spark, "buckets")).saveAsTable(name)
+    out = spark.table(name).groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("s"))
+    if "Exchange" in statements.plan_text(out, "simple"):
+        raise AssertionError("an aggregate by the bucketing key was exchanged")
+    return out
+
+
 ITEMS = {
+    "bucketed_aggregate": (bucketed_aggregate, "SELECT l_suppkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY l_suppkey"),
     "json_each": (each, f"SELECT n_nationkey, e.key, CAST(e.value AS VARCHAR) AS value, e.type FROM nation, json_each({JDOC}) e"),
     "json_each_path": (each_at, f"SELECT n_nationkey, e.key, CAST(e.value AS VARCHAR) AS value, e.type FROM nation, json_each({JDOC}, '$.tags') e"),
     "json_tree": (tree, f"SELECT n_nationkey, e.key, e.type, e.fullkey FROM nation, json_tree({JDOC}) e"),

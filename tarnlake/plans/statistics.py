@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.session import table
+from tarnlake.sources import statements
 from tarnlake.stats import assign, blocks, workload
 
 ROWS = 2048
@@ -107,6 +108,19 @@ def _generated(spark: SparkSession, d: str) -> DataFrame:
     return workload.generate(spark, 50_000, "sorted").select("time", "block")
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return _once(spark, (d, "pages"), lambda: blocks.stored(table(spark, d, "pages").select("page_id", "url"), [F.col("page_id")], 32))
+
+
+def scans_less(spark: SparkSession, d: str) -> DataFrame:
+    """What a pruned query's scan reads, from its own plan: fewer rows than the table has, as row groups are skipped."""
+    df = _items(spark, d)
+    got = statements.explain_analyze(blocks.pruned(df, _stats(spark, d, _items, ["l_orderkey"], []), ("between", "l_orderkey", 100, 400)))
+    scan = got.filter("operator LIKE 'Scan%'").agg(F.max("n_rows").alias("read"))
+    n = df.filter("l_orderkey BETWEEN 100 AND 400").count()
+    return scan.select(F.lit(n).cast("long").alias("n"), ((F.col("read") >= n) & (F.col("read") < df.count())).alias("fewer"))
+
+
 def _pruned_ntz(spark: SparkSession, d: str) -> DataFrame:
     return blocks.pruned(_events(spark, d), _stats(spark, d, _events, ["ts"], ["occupancy_m"]), ("and", (">=", "ts", "2024-01-03"), ("<", "ts", "2024-01-03 12:00:00"))).select("event_id", "ts")
 
@@ -125,6 +139,8 @@ ITEMS = {
     "prune_nullspace_s": _pruned(_items, ("in", "l_partkey", [33, 34]), ["nullspace_s"], ["l_partkey"], ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (33, 34)"),
     "prune_nullspace3": _pruned(_items, ("=", "l_partkey", 35), ["nullspace3_m"], ["l_partkey"], ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey = 35"),
     "prune_nulls": _pruned(_items, ("or", ("is null", "flag"), ("not distinct", "l_partkey", 9)), ["dictionary"], ["flag", "l_partkey"], ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 45 OR l_partkey = 9"),
+    "prune_ngrams": _pruned(_pages, ("contains", "url", "example.net/en/7"), ["ngram_s"], ["url"], ["page_id"], "SELECT page_id FROM pages WHERE contains(url, 'example.net/en/7')"),
+    "prune_reads_fewer_rows": (scans_less, "SELECT count(*) AS n, true AS fewer FROM lineitem WHERE l_orderkey BETWEEN 100 AND 400"),
     "scanned_points": (_report(POINTS, ["user_id"], ["dictionary_l"]), _left(["list_contains(users, 77)", "list_contains(users, 5) OR list_contains(users, 91)", "false", "false", "false"])),
     "scanned_spans": (_report(SPANS, ["event_id"], []), _left(["low <= 2500 AND high >= 100", "low <= 3000", "false", "true", "false"])),
     "assigned_greedy_simple": _assigned("greedy_simple"),

@@ -6,7 +6,7 @@ pass. A filter is evaluated over the statistics first; the blocks that may match
 number, which Parquet's row-group ranges turn into skipped row groups.
 
 A filter is a tree: ("=", col, v), and so for <>, <, <=, >, >=, ("in", col, [v]), ("between", col, a, b),
-("is null", col), ("is not null", col), ("is distinct", col, v), ("not distinct", col, v), ("and", f...), ("or", f...).
+("is null", col), ("is not null", col), ("is distinct", col, v), ("not distinct", col, v), ("contains", col, text), ("and", f...), ("or", f...).
 
 Constants may be of another type than the column: they are compared as Spark compares them (in the wider type), never
 cast to the column's. A constant that no value of the column can equal, or that lies beyond all of them, makes the
@@ -33,6 +33,7 @@ from tarnlake.session import scratch_path
 from tarnlake.stats.kinds import KINDS, key_of
 
 ROWS = 8192
+GRAM = 3
 
 
 class Outcome(IntEnum):
@@ -106,14 +107,29 @@ def key_column(df: DataFrame, c: str, x: Column) -> tuple[Column, bool]:
     return F.when(x.isNotNull(), F.xxhash64(x.cast("string"))), False  # of null, the hash is a number
 
 
+def grams_of(x: Column) -> Column:
+    """Hashes of a text's runs of GRAM characters; none of a shorter one."""
+    n = F.length(x)
+    return F.when(n >= GRAM, F.transform(F.sequence(F.lit(1), F.greatest(n - GRAM + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(x, i, F.lit(GRAM)))))
+
+
 def build(df: DataFrame, cols: list[str], kinds: list[str]) -> DataFrame:
-    """The statistics table of df (with block) for each column and kind; min_max is always there."""
+    """The statistics table of df (with block) for each column and kind; min_max is always there.
+
+    Kinds named ngram_* are of texts alone, and of their runs of GRAM characters in place of whole values.
+    """
     out = None
-    for c in cols:
+    for c, of_grams in [(c, g) for c in cols for g in (False, True)]:
+        mine = [k for k in kinds if k.startswith("ngram") == of_grams]
+        if of_grams and (not mine or df.schema[c].dataType.typeName() != "string"):
+            continue
         k, ordered = key_column(df, c, F.col(c))
         g = df.select("block", k.alias("k")).groupBy("block").agg(F.count("*").alias("n"), F.count_if(F.col("k").isNull()).alias("nulls"), F.sort_array(F.collect_set("k")).alias("keys"))
+        if of_grams:
+            each = df.select("block", F.explode_outer(grams_of(F.col(c))).alias("k")).groupBy("block").agg(F.sort_array(F.collect_set("k")).alias("grams"))
+            g = g.join(each, "block").select("block", "n", "nulls", F.col("grams").alias("keys"))
 
-        def run(batches: Iterator, c=c, ordered=ordered) -> Iterator:
+        def run(batches: Iterator, c=c, ordered=ordered, mine=mine, of_grams=of_grams) -> Iterator:
             import numpy as np
             import pyarrow as pa
 
@@ -123,9 +139,10 @@ def build(df: DataFrame, cols: list[str], kinds: list[str]) -> DataFrame:
                 for block, n, nulls, values in zip(*(b.column(x).to_pylist() for x in ("block", "n", "nulls", "keys")), strict=True):
                     keys = np.array(sorted({key_of(v) for v in values}), np.uint64)
                     low, high = (int(keys[0]).to_bytes(8), int(keys[-1]).to_bytes(8)) if ordered and len(keys) else (None, None)
-                    rows.append((block, c, "min_max", n, nulls, low, high, 16, None))
-                    for name in kinds:
-                        if ordered or name.startswith(("bloom", "dictionary", "nullspace")):
+                    if not of_grams:
+                        rows.append((block, c, "min_max", n, nulls, low, high, 16, None))
+                    for name in mine:
+                        if ordered or name.startswith(("bloom", "dictionary", "nullspace", "ngram")):
                             raw = KINDS[name].build(keys)
                             if raw is not None:
                                 rows.append((block, c, name, n, nulls, low, high, len(raw), raw))
@@ -151,7 +168,11 @@ class Column1:
     def may(self, low: int, high: int) -> bool:
         if self.low is not None and (high < self.low or low > self.high):
             return False
-        return all(KINDS[k].may(raw, low, high) for k, raw in self.more)
+        return all(KINDS[k].may(raw, low, high) for k, raw in self.more if not k.startswith("ngram"))
+
+    def may_hold(self, grams: list[int]) -> bool:
+        """Whether a text with all these runs of characters may be there."""
+        return all(KINDS[k].may(raw, g, g) for k, raw in self.more if k.startswith("ngram") for g in grams)
 
 
 TOP = (1 << 64) - 1
@@ -201,6 +222,8 @@ def evaluate(f: tuple, cols: dict[str, Column1]) -> Outcome:
     false, true = (Outcome.FALSE_OR_NULL, Outcome.TRUE_OR_NULL) if some else (Outcome.ALWAYS_FALSE, Outcome.ALWAYS_TRUE)
     if op in ("all", "no"):
         return true if op == "all" else false
+    if op == "contains":
+        return Outcome.SOME if c.may_hold(f[2]) else false
     if op == "in":
         return Outcome.SOME if any(c.may(v, v) for v in f[2]) else false
     if op == "<>":
@@ -257,6 +280,11 @@ def leaf(op: str, c: str, flat: list, t: DataType) -> tuple:
     if any(v is None for v in flat) and op != "in":
         return {"is distinct": ("is not null", c), "not distinct": ("is null", c)}.get(op, ("no", c))
     flat = [v for v in flat if v is not None]
+    if op == "contains":
+        (v,) = flat
+        if t.typeName() != "string" or getattr(t, "collation", "UTF8_BINARY") != "UTF8_BINARY" or not isinstance(v, str) or len(v) < GRAM:
+            return ("unknown",)
+        return (op, c, [key_of(text_key(v[i : i + GRAM])) for i in range(len(v) - GRAM + 1)])
     if not is_ordered(t):
         if op not in ("=", "<>", "in", "is distinct", "not distinct") or t.typeName() not in ("string", "binary") or getattr(t, "collation", "UTF8_BINARY") != "UTF8_BINARY" or not all(isinstance(v, str if t.typeName() == "string" else (bytes, bytearray)) for v in flat):
             return ("unknown",)
@@ -357,6 +385,8 @@ def condition(f: tuple, schema: StructType | None = None) -> Column:
     if op == "in":
         return c.isin([constant(v, t) for v in f[2]]) if f[2] else F.lit(False)
     at = [constant(v, t) for v in f[2:]]
+    if op == "contains":
+        return c.contains(at[0])
     if op == "between":
         return c.between(*at)
     if op in ("is distinct", "not distinct"):

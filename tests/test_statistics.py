@@ -193,3 +193,22 @@ def test_prices_keep_to_the_budget(spark):
         assert len({b for b, _ in got}) == len(got) and sum(size[x][0] for x in got) <= budget
         best = sum(o.prunes for o in assign.exact([assign.Option(b, k, n, p) for b, _, k, n, p in rows], min(budget, 4000)).values())
         assert sum(size[x][1] for x in got) >= (0.8 * best if budget >= 300 else 0)
+
+
+def test_runs_of_characters(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(0, 9)))
+    rows = [(b, rng.choice([None, word()])) for b in range(20) for _ in range(6)]
+    df = blocks.saved(spark.createDataFrame(rows, "block long, t string"), "grams")
+    stats = blocks.build(df, ["t"], ["ngram_s", "dictionary"]).collect()
+    by_block = {}
+    for r in stats:
+        by_block.setdefault(r.block, []).append(r.asDict())
+    skipped = 0
+    for part in ["abc", "abcd", "éab", "ab", "", "zzz", "eeeee", *{t[1:5] for _, t in rows if t and len(t) > 4}]:
+        f = blocks.keyed(df.schema, ("contains", "t", part))
+        for b, held in by_block.items():
+            o = evaluate(f, blocks.columns_of(held))
+            assert not (o.skips and any(x == b and t is not None and part in t for x, t in rows)), (part, b)
+            skipped += o.skips
+    assert skipped > 100
