@@ -26,6 +26,25 @@ def bernoulli_sample(df: DataFrame, percent: float, seed: int = 0) -> DataFrame:
     return df.sample(withReplacement=False, fraction=percent / 100, seed=seed)
 
 
+def n_extremes(df: DataFrame, group: list[str], value: str, n: int, name: str, largest: bool = False) -> DataFrame:
+    """The n smallest (or largest) values of each group as a list, best first, nulls left out. Each task keeps n of a group
+    before the shuffle and no more are ever gathered, where fn.min_n gathers the group."""
+    order = F.col(value).desc() if largest else F.col(value).asc()
+    w = Window.partitionBy(*group).orderBy(order)
+    top = df.filter(F.col(value).isNotNull()).select(*group, value).withColumn("__tl_n", F.row_number().over(w)).filter(F.col("__tl_n") <= n)
+    return top.groupBy(*group).agg(F.sort_array(F.collect_list(value), not largest).alias(name))
+
+
+def quantile_disc(df: DataFrame, group: list[str], value: str, q: float, name: str) -> DataFrame:
+    """The smallest value of each group with at least a share q of its values up to it: by counts of distinct values, whose
+    running sum is a window over them and not over all rows."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).count()
+    upto = F.sum("count").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("count").over(Window.partitionBy(*group))
+    x = counts.withColumn("__tl_at", upto).withColumn("__tl_all", total)
+    return x.filter(F.col("__tl_at") >= F.greatest(F.ceil(F.col("__tl_all") * q), F.lit(1))).groupBy(*group).agg(F.min(value).alias(name))
+
+
 def system_sample(df: DataFrame, percent: float, seed: int = 0, rows: int = 2048) -> DataFrame:
     """Whole runs of `rows` rows as the scan gives them, each kept with the given chance."""
     at = F.monotonically_increasing_id()

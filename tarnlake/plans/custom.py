@@ -234,6 +234,18 @@ def ordered_window(spark: SparkSession, d: str) -> DataFrame:
     return windows.ordered_value(x, "first", "o_orderkey", [F.col("o_totalprice")], ["o_custkey"], [F.col("o_orderkey")], "f").select("o_orderkey", "f")
 
 
+def smallest(spark: SparkSession, d: str) -> DataFrame:
+    return rows.n_extremes(table(spark, d, "orders"), ["o_custkey"], "o_orderkey", 3, "s").select("o_custkey", F.to_json("s").alias("s"))
+
+
+def largest(spark: SparkSession, d: str) -> DataFrame:
+    return rows.n_extremes(table(spark, d, "orders"), ["o_orderpriority"], "o_orderkey", 4, "s", largest=True).select("o_orderpriority", F.to_json("s").alias("s"))
+
+
+def quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return rows.quantile_disc(table(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", 0.3, "q")
+
+
 def inequality(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").filter("c_nationkey < 4").select("c_custkey", "c_acctbal")
     s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
@@ -323,6 +335,9 @@ ITEMS = {
     "exclude_ties_max": _peers("max", "ties"),
     "window_distinct": (distinct_window, "SELECT o_orderkey, count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS n FROM orders"),
     "window_ordered_value": (ordered_window, "SELECT o_orderkey, first_value(o_orderkey ORDER BY o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM orders"),
+    "smallest_n": (smallest, "SELECT o_custkey, CAST(to_json(min(o_orderkey, 3)) AS VARCHAR) AS s FROM orders GROUP BY o_custkey"),
+    "largest_n": (largest, "SELECT o_orderpriority, CAST(to_json(max(o_orderkey, 4)) AS VARCHAR) AS s FROM orders GROUP BY o_orderpriority"),
+    "quantile_by_counts": (quantiles, "SELECT l_suppkey, quantile_disc(l_quantity, 0.3) AS q FROM lineitem GROUP BY l_suppkey"),
     "inequality_join": (inequality, "SELECT c_custkey, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS s FROM customer JOIN supplier ON c_acctbal > s_acctbal WHERE c_nationkey < 4 GROUP BY c_custkey"),
     "inequality_pair_join": (inequalities, "SELECT s_suppkey, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS s FROM customer JOIN supplier ON c_acctbal <= s_acctbal AND c_custkey >= s_suppkey GROUP BY s_suppkey"),
     "chosen_equal_join": (chosen_equal, "SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey AND o_totalprice < c_acctbal"),
