@@ -188,7 +188,7 @@ class WordEncoder:
     WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
     LONG = 64
 
-    def __init__(self, name: str, most: int = 250_000):
+    def __init__(self, name: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
