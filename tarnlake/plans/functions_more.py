@@ -48,10 +48,10 @@ TEXTS_SQL = f"""SELECT c_custkey, bit_length(c_name) AS bl, CAST(ord(c_name) AS
 
 SUM = _select(
     "supplier", ["s_suppkey"],
-    ad=r6(lambda: fn.add("s_acctbal", F.lit(1.5))), sb=r6(lambda: fn.subtract("s_acctbal", F.lit(1.5))), mu=r6(lambda: fn.multiply("s_acctbal", F.lit(2))), dv=r6(lambda: fn.divide("s_acctbal", F.col("s_nationkey") % 3 + 1)), md=lambda: fn.mod(c("s_suppkey"), F.lit(7)).cast("long"), fd=r6(lambda: fn.fdiv(c("s_acctbal"), F.lit(7))), fm=r6(lambda: fn.fmod(c("s_acctbal"), F.lit(7))),
+    ad=r6(lambda: fn.add("s_acctbal", F.lit(1.5))), sb=r6(lambda: fn.subtract("s_acctbal", F.lit(1.5))), mu=r6(lambda: fn.multiply("s_acctbal", F.lit(2))), dv=r6(lambda: fn.divide("s_acctbal", F.col("s_nationkey") % 3 + 1)), md=lambda: fn.mod(c("s_suppkey"), F.lit(7)).cast("long"), fd=lambda: fn.fdiv(c("s_acctbal"), F.lit(7)).cast("double"), fm=r6(lambda: fn.fmod(c("s_acctbal"), F.lit(7))),
     lg=r6(lambda: F.log10(F.abs("s_acctbal") + 1)), ac=r6(lambda: F.acosh(c("s_suppkey"))), at=r6(lambda: F.atanh(c("s_nationkey") / 30)), nn=lambda: F.isnan("s_acctbal"),
 )
-SUM_SQL = "SELECT s_suppkey, round(add(s_acctbal, 1.5), 6) AS ad, round(subtract(s_acctbal, 1.5), 6) AS sb, round(multiply(s_acctbal, 2), 6) AS mu, round(divide(s_acctbal, s_nationkey % 3 + 1), 6) AS dv, mod(s_suppkey, 7) AS md, round(fdiv(s_acctbal, 7), 6) AS fd, round(fmod(s_acctbal, 7), 6) AS fm, round(log(abs(s_acctbal) + 1), 6) AS lg, round(acosh(s_suppkey), 6) AS ac, round(atanh(s_nationkey / 30), 6) AS at, isnan(s_acctbal) AS nn FROM supplier"
+SUM_SQL = "SELECT s_suppkey, round(add(s_acctbal, 1.5), 6) AS ad, round(subtract(s_acctbal, 1.5), 6) AS sb, round(multiply(s_acctbal, 2), 6) AS mu, round(divide(s_acctbal, s_nationkey % 3 + 1), 6) AS dv, mod(s_suppkey, 7) AS md, fdiv(s_acctbal, 7) AS fd, round(fmod(s_acctbal, 7), 6) AS fm, round(log(abs(s_acctbal) + 1), 6) AS lg, round(acosh(s_suppkey), 6) AS ac, round(atanh(s_nationkey / 30), 6) AS at, isnan(s_acctbal) AS nn FROM supplier"
 
 DATES = _select(
     "orders", ["o_orderkey"],

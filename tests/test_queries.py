@@ -105,7 +105,7 @@ def test_results_equal_their_oracles(spark, sf):
 
     def plain(v):
         if isinstance(v, (float, Decimal)):
-            return f"{float(v):.9g}"
+            return f"{float(v) + 0.0:.9g}"  # of zeros one
         return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
     wrong = []
