@@ -1,4 +1,4 @@
-"""Joins that Spark has no operator for: as-of, interval overlap, one inequality, positional."""
+"""Joins that Spark has no operator for: as-of, interval overlap, one inequality, sums over two, positional."""
 
 from __future__ import annotations
 
@@ -192,6 +192,49 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return held.join(base, "__tl_part").select(*(F.col(f"`{c}`") for c in df.columns if c != name), (F.col("__tl_base") + F.col("__tl_at")).alias(name))
 
 
+SPAN = 1 << 17  # rows, at most, that a task sums in one run
+
+
+def pair_totals(left: DataFrame, right: DataFrame, compare: list[tuple[str, str, str]], count: str, sums: dict[str, str]) -> DataFrame:
+    """Right rows that pair with a left row by two comparisons (left column, op, right column), each once, with the number of
+    left rows that they pair with and sums (new column: left column) over those: what a join and sums over its pairs
+    give, but the pairs, which may be all of both tables, are never made.
+
+    Rows of both sides are numbered by the first comparison and by the second, so that a left row pairs with a right row
+    if both its numbers are smaller. Of two numbers the smaller has a 0 and the larger a 1 at the first bit in which they
+    differ: a row is listed for those bits of its first number where it can be the one, with the bits above, and each list is one
+    running sum by the second number. So n rows are about n log n / 2 in all. Lists of over SPAN rows are
+    summed in spans of the second number, to which the spans before are added. Rows with a null pair with nothing;
+    sums skip nulls and are null where there is no value. Names must not clash.
+    """
+    (la, op, ra), (lb, op2, rb) = compare
+    if op not in HOLDS or op2 not in HOLDS:
+        raise ValueError(compare)
+    own = {f"__tl_s{k}": c for k, c in enumerate(sums.values())}
+    x = left.filter(F.col(la).isNotNull() & F.col(lb).isNotNull())
+    x = x.select(F.lit(0).alias("__tl_q"), F.col(la).alias("__tl_a"), F.col(lb).alias("__tl_b"), F.lit(None).cast(right.schema).alias(RIGHT_ROW), *(F.col(c).alias(s) for s, c in own.items()))
+    y = right.filter(F.col(ra).isNotNull() & F.col(rb).isNotNull())
+    y = y.select(F.lit(1).alias("__tl_q"), F.col(ra).alias("__tl_a"), F.col(rb).alias("__tl_b"), _struct(right).alias(RIGHT_ROW), *(F.lit(None).cast(left.schema[c].dataType).alias(s) for s, c in own.items()))
+    both = x.unionByName(y)
+    for c, o, to in (("__tl_a", op, "__tl_i"), ("__tl_b", op2, "__tl_j")):  # at equal values left rows are first if equal ones pair
+        both = numbered(both, to, F.col(c).asc() if o[0] == "<" else F.col(c).desc(), F.col("__tl_q").asc() if o[1:] else F.col("__tl_q").desc()).drop(c)
+    bits = max(1, (both.count() - 1).bit_length())
+    listed = both.drop(RIGHT_ROW).withColumn("__tl_bit", F.explode(F.expr(f"filter(sequence(0, {bits - 1}), b -> (shiftright(__tl_i, b) & 1) = __tl_q)")))
+    long = F.col("__tl_bit") >= SPAN.bit_length() - 1
+    listed = listed.withColumn("__tl_above", F.expr("shiftright(__tl_i, __tl_bit + 1)")).withColumn("__tl_span", F.when(long, F.expr(f"__tl_j div {SPAN}")).otherwise(F.lit(0)))
+    total = [F.sum(1 - F.col("__tl_q")).alias("__tl_n"), *(F.sum(s).alias(s) for s in own)]
+    names = ["__tl_n", *own]
+    where = ["__tl_bit", "__tl_above", "__tl_span"]
+    w = Window.partitionBy(*where).orderBy("__tl_j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = listed.select("__tl_i", "__tl_q", F.sum(1 - F.col("__tl_q")).over(w).alias("__tl_n"), *(F.sum(s).over(w).alias(s) for s in own)).filter("__tl_q = 1")
+    before = Window.partitionBy("__tl_bit", "__tl_above").orderBy("__tl_span").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each span
+    spans = listed.filter(long).groupBy(*where).agg(*total).select(*where, *(F.sum(c).over(before).alias(c) for c in names))
+    carried = listed.filter(long & (F.col("__tl_q") == 1)).select("__tl_i", *where).join(spans, where)
+    got = within.select("__tl_i", *names).unionAll(carried.select("__tl_i", *names)).filter("__tl_n > 0").groupBy("__tl_i").agg(*(F.sum(c).alias(c) for c in names))
+    rows = both.filter("__tl_q = 1").select("__tl_i", RIGHT_ROW).join(got, "__tl_i")
+    return rows.select(*(F.col(f"{RIGHT_ROW}.`{c}`").alias(c) for c in right.columns), F.col("__tl_n").alias(count), *(F.col(s).alias(c) for s, c in zip(own, sums, strict=True)))
+
+
 def positional_join(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column]) -> DataFrame:
     """Rows side by side in the given orders; the shorter side is filled with nulls."""
     a, b = numbered(left, "__i", *left_order), numbered(right, "__j", *right_order)  # names must not clash

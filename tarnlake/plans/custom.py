@@ -255,7 +255,8 @@ def inequality(spark: SparkSession, d: str) -> DataFrame:
 def inequalities(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal")
     s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return joins.choose_join(c, s, compare=[("c_acctbal", "<=", "s_acctbal"), ("c_custkey", ">=", "s_suppkey")]).groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("s"))
+    both = joins.pair_totals(c, s, [("c_acctbal", "<=", "s_acctbal"), ("c_custkey", ">=", "s_suppkey")], "n", {"s": "c_custkey"})
+    return both.groupBy("s_suppkey").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
 def chosen_equal(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnlake.operators import joins, rows, windows
+from tarnlake.plans import registry
 
 
 def brute_asof(left, right, op, how):
@@ -69,6 +70,36 @@ def test_one_inequality(spark, op):
     assert sorted((r.i, r.j) for r in joins.choose_join(a, b, compare=[("x", op, "y"), ("i", "<", "j")]).collect()) == [p for p in want if p[0] < p[1]]
 
 
+@pytest.mark.parametrize("op, op2", [("<=", ">="), (">=", "<"), (">", "<="), ("<", ">")])
+def test_totals_of_two_inequalities(spark, monkeypatch, op, op2):
+    monkeypatch.setattr(joins, "SPAN", 16)  # so that lists are summed in spans
+    rng = random.Random(op + op2)
+    value = lambda n: rng.choice([None, *[3.0] * 9, *map(float, range(n))])  # noqa: E731  # one value of many rows
+    left = [(i, value(20), value(25), rng.choice([None, *range(-5, 30)])) for i in range(120)]
+    right = [(j, value(22), value(20)) for j in range(40)]
+    a, b = spark.createDataFrame(left, "i int, x double, y double, v long"), spark.createDataFrame(right, "j int, x2 double, y2 double").repartition(3)
+    ok = {">=": lambda p, q: p >= q, ">": lambda p, q: p > q, "<=": lambda p, q: p <= q, "<": lambda p, q: p < q}
+    want = []
+    for j, x2, y2 in right:
+        met = [(i, v) for i, x, y, v in left if None not in (x, y, x2, y2) and ok[op](x, x2) and ok[op2](y, y2)]
+        held = [v for _, v in met if v is not None]
+        want += [(j, x2, y2, len(met), sum(held) if held else None, sum(i for i, _ in met))] if met else []
+    got = joins.pair_totals(a, b, [("x", op, "x2"), ("y", op2, "y2")], "n", {"s": "v", "t": "i"})
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert joins.pair_totals(a.limit(0), b, [("x", op, "x2"), ("y", op2, "y2")], "n", {}).count() == 0
+
+
+def test_pairs_of_two_inequalities_are_not_made(spark, tmp_path):
+    """Of 40,000 customers and 40,000 suppliers nearly all pair; a join that makes the pairs has 1.6 billion rows."""
+    n = 40_000
+    spark.range(n).selectExpr("id + 40000 AS c_custkey", "CAST(id % 7 AS DOUBLE) AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(n).selectExpr("id AS s_suppkey", "7D AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = registry.queries()["inequality_pair_join"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any("Join" in x and "s_acctbal#" in x for x in plan.splitlines())
+    assert [tuple(r) for r in got.select("n", "s").distinct().collect()] == [(n, n * (n - 1) // 2 + n * n)] and got.count() == n
+
+
 def test_merge_errors_and_nulls(spark):
     t = spark.createDataFrame([(1, 10), (2, 20), (None, 30)], "k int, v int")
     s = spark.createDataFrame([(1, 5), (1, 6), (None, 7), (9, 8)], "k int, v int")
