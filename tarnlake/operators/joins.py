@@ -21,8 +21,9 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     """Each left row with the nearest right row for which `left_on op right_on` holds within equal keys.
 
     op is one of >=, >, <=, <. how: inner, left, semi, anti, right or full (for the last two, right rows that no
-    left row took follow). Both sides go through one shuffle on the keys and one sort: a running last-seen right
-    row takes the place of a join, so nothing is multiplied. Rows with a null key or time match nothing; of
+    left row took are rows too). Both sides go through one shuffle on the keys and one sort: a running last-seen right
+    row takes the place of a join, so nothing is multiplied and each side is read once: rows need no ids, which would differ
+    where a side is computed again and gives its rows in another order. Rows with a null key or time match nothing; of
     right rows with equal keys and time any one matches, the same for all. Output columns are those of left, then
     of right (only left for semi and anti); names must not clash.
     """
@@ -35,34 +36,32 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     at, ends = "__at", op in (">=", "<=")
     lcols = [F.col(a).alias(k) for (a, _), k in zip(by, keys, strict=True)]
     rcols = [F.col(b).alias(k) for (_, b), k in zip(by, keys, strict=True)]
-    rid = F.monotonically_increasing_id().alias("__rid")
     want_rest = how in ("right", "full")
-    r = right.select(*rcols, F.col(right_on).alias(at), _struct(right).alias(RIGHT_ROW), *([rid] if want_rest else []))
+    r = right.select(*rcols, F.col(right_on).alias(at), _struct(right).alias(RIGHT_ROW))
     r = r.filter(~dead(r, [*keys, at])) if not want_rest else r
     side_of_right = 0 if ends else 1  # at equal times, before the left rows only if equality matches
     lt, rt = left.schema, right.schema
-    a = left.select(*lcols, F.col(left_on).alias(at), F.lit(1 - side_of_right).alias(SIDE), _struct(left).alias(LEFT_ROW), F.lit(None).cast(rt).alias(RIGHT_ROW), *([F.lit(None).cast("long").alias("__rid")] if want_rest else []))
-    b = r.select(*keys, at, F.lit(side_of_right).alias(SIDE), F.lit(None).cast(lt).alias(LEFT_ROW), RIGHT_ROW, *(["__rid"] if want_rest else []))
+    a = left.select(*lcols, F.col(left_on).alias(at), F.lit(1 - side_of_right).alias(SIDE), _struct(left).alias(LEFT_ROW), F.lit(None).cast(rt).alias(RIGHT_ROW))
+    b = r.select(*keys, at, F.lit(side_of_right).alias(SIDE), F.lit(None).cast(lt).alias(LEFT_ROW), RIGHT_ROW)
     order = F.col(at).asc() if op in (">=", ">") else F.col(at).desc()
-    w = Window.partitionBy(*keys).orderBy(order, F.col(SIDE))
-    w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = Window.partitionBy(*keys).orderBy(order, F.col(SIDE))
+    w = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     alive = ~dead(a, [*keys, at])
-    usable = F.when(F.col(RIGHT_ROW).isNotNull() & alive, F.struct(F.col(RIGHT_ROW).alias("row"), *([F.col("__rid").alias("rid")] if want_rest else [])))
-    met = a.unionByName(b).withColumn("__got", F.last(usable, ignorenulls=True).over(w)).withColumn("__got", F.when(alive, F.col("__got")))
-    rows = met.filter(F.col(LEFT_ROW).isNotNull())
+    is_left = F.col(LEFT_ROW).isNotNull()
+    usable = F.when(F.col(RIGHT_ROW).isNotNull() & alive, F.struct(F.col(RIGHT_ROW).alias("row")))
+    met = a.unionByName(b).withColumn("__got", F.last(usable, ignorenulls=True).over(w))
+    if want_rest:  # a right row is taken if the row that follows it is a left row that can match
+        met = met.withColumn("__taken", alive & F.coalesce(F.lead(is_left & alive).over(ordered), F.lit(False)))
+    met = met.withColumn("__got", F.when(alive, F.col("__got")))
     whole = [F.col(f"{LEFT_ROW}.`{c}`").alias(c) for c in left.columns]
-    got = [F.col(f"__got.row.`{c}`").alias(c) for c in right.columns]
     if how == "semi":
-        return rows.filter("__got IS NOT NULL").select(*whole)
+        return met.filter(is_left & F.col("__got").isNotNull()).select(*whole)
     if how == "anti":
-        return rows.filter("__got IS NULL").select(*whole)
-    found = rows if how in ("left", "full") else rows.filter("__got IS NOT NULL")
-    out = found.select(*whole, *got)
-    if want_rest:
-        took = rows.filter("__got IS NOT NULL").select(F.col("__got.rid").alias("__rid")).distinct()
-        rest = met.filter(F.col(RIGHT_ROW).isNotNull()).join(took, "__rid", "left_anti")
-        out = out.unionAll(rest.select(*(F.lit(None).cast(lt[c].dataType).alias(c) for c in left.columns), *(F.col(f"{RIGHT_ROW}.`{c}`").alias(c) for c in right.columns)))
-    return out
+        return met.filter(is_left & F.col("__got").isNull()).select(*whole)
+    keep = is_left if how in ("left", "full") else is_left & F.col("__got").isNotNull()
+    row = F.when(is_left, F.col("__got.row")).otherwise(F.col(RIGHT_ROW)) if want_rest else F.col("__got.row")
+    met = met.filter(keep | ~is_left & ~F.col("__taken") if want_rest else keep)
+    return met.select(*whole, *(row.getField(c).alias(c) for c in right.columns))
 
 
 def _cuts(df: DataFrame, c: str, n: int) -> list:

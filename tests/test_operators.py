@@ -44,6 +44,23 @@ def test_asof(spark, op, how):
     assert joins.asof_join(a.limit(0), b, "t", "t2", [("k", "k2")], op, "left").count() == 0
 
 
+@pytest.mark.parametrize("how", ["full"])
+def test_asof_of_rows_in_another_order_each_time(spark, how):
+    """As rows come out of a shuffle on a cluster."""
+
+    def shuffled(batches):
+        import os
+
+        for b in batches:
+            yield b.sample(frac=1, random_state=int.from_bytes(os.urandom(4), "big"))
+
+    left = [(i, i % 7, 10 * (i % 31)) for i in range(60)]
+    right = [(i, i % 7, i) for i in range(300)]
+    a, b = spark.createDataFrame(left, "i int, k int, t int"), spark.createDataFrame(right, "j int, k2 int, t2 int").mapInPandas(shuffled, "j int, k2 int, t2 int")
+    got = joins.asof_join(a, b, "t", "t2", [("k", "k2")], ">=", how)
+    assert sorted(map(tuple, got.select("i", "j").collect()), key=str) == brute_asof(left, right, ">=", how)
+
+
 @pytest.mark.parametrize("op", [">=", ">", "<=", "<"])
 @pytest.mark.parametrize("how", ["inner", "left", "semi", "anti"])
 def test_asof_without_keys(spark, op, how):
