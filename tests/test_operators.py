@@ -44,7 +44,7 @@ def test_asof(spark, op, how):
     assert joins.asof_join(a.limit(0), b, "t", "t2", [("k", "k2")], op, "left").count() == 0
 
 
-@pytest.mark.parametrize("how", ["full"])
+@pytest.mark.parametrize("how", ["full", "right"])
 def test_asof_of_rows_in_another_order_each_time(spark, how):
     """As rows come out of a shuffle on a cluster."""
 
