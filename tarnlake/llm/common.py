@@ -153,9 +153,9 @@ def crc_mod(n: int, c: str = "doc_id"):
 BITS = 1 << 23
 
 
-def bit_table(rks: DataFrame) -> DataFrame:
-    """A table of BITS bits, of bounded size, of those that stand for hashes rk."""
-    bits = rks.select(F.pmod("rk", F.lit(BITS)).alias("bit"))
+def bit_table(rks: DataFrame, most: int = BITS) -> DataFrame:
+    """A table of `most` bits, of bounded size, of those that stand for hashes rk."""
+    bits = rks.select(F.pmod("rk", F.lit(most)).alias("bit"))
     return bits.groupBy(F.floor(F.col("bit") / 64).alias("__tl_word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("__tl_bits"))
 
 

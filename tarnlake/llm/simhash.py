@@ -134,8 +134,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 LEAST = 4  # bytes of a word that counts in keep_one's fingerprints (of texts that have such): shorter ones are alike in all texts of a language
 SHINGLE = 5
 ALIKE = (4, 5)  # texts are alike if the similarity of their sets of shingles is this fraction or more
-COMMON_DOCS = 20_000  # texts, about, of which common shingles are learnt; they say which shingles go last, and change no result
-MOST_COMMON = 200_000
+COMMON = (3, 20_000)  # shingles that this share of all rows or more hold, and three rows, go last in prefixes: any order finds all that are alike
+TOGETHER = 14_000  # rows, about, whose shingles are counted together, so that two of them must hold one that may be common
+BLOCK = 1 << 23  # shingles, about, that a task counts at once
+MAYBE = 1 << 25  # bits that tell which shingles may be common
 PARITY = 16  # longs of parities of a set of shingles: sets of few differences differ in no more of these bits
 SMALL = 500  # shingles a part, up to twice as many: more would fill the bits of their parities
 CENTRES = 6  # rounds, at most, in which a group's texts are compared with one centre; what is left then is compared by pairs
@@ -203,21 +205,62 @@ def parts(s: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that three or more of about COMMON_DOCS distinct texts of docs (rk, text) hold, and how many do."""
+    """Shingles that `least` or more rows of docs (text) hold, COMMON of all and at least three, and how many rows do.
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    Counts are of all rows. Of blocks of rows, one at least must hold its share of a common shingle: those are told by a
+    table of bits in a first pass, and counted in a second. There are at most as many as a row has shingles, divided by COMMON.
+    """
+    spark = docs.sparkSession
+    n = docs.count()
+    least, block, most = max(3, -(-COMMON[0] * n // COMMON[1])), BLOCK, MAYBE
 
+    def counted(batches: Iterator) -> Iterator:
+        """Blocks of rows: how many rows, their distinct shingles, and the counts of those."""
+        release()
+        held: list[np.ndarray] = []
+        size = 0
         for b in batches:
             for t in texts(b):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(word_hashes(t.lower().split())).view(np.int64))], names=["key"])
+                held.append(shingles(word_hashes(t.lower().split())))
+                size += len(held[-1])
+                if size >= block:
+                    yield len(held), *np.unique(np.concatenate(held), return_counts=True)
+                    held, size = [], 0
+        if held:
+            yield len(held), *np.unique(np.concatenate(held), return_counts=True)
+
+    def likely(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for rows, keys, count in counted(batches):
+            keys = keys[count * n >= least * rows].view(np.int64)
+            for k in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)])], names=["rk"])
+
+    plain = docs.select("text")
+    bits = written(bit_table(plain.coalesce(max(1, n // TOGETHER)).mapInArrow(likely, "rk long"), most), "bits")
+    got = bits.toArrow()  # a row for 64 bits
+    forget(bits)
+    table = np.zeros(most // 64, np.uint64)
+    table[got.column("__tl_word").to_numpy()] = got.column("__tl_bits").to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(table)
+
+    def exact(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    some = docs.filter(F.pmod("rk", F.lit(max(1, docs.count() // COMMON_DOCS))) == 0).dropDuplicates(["rk"])
-    found = some.select("text").mapInArrow(run, "key long").groupBy("key").count().filter("count > 2")
-    got = found.orderBy(F.desc("count"), "key").limit(MOST_COMMON).toArrow()
-    key, n = got.column("key").to_numpy().view(np.uint64), got.column("count").to_numpy()
+        for _, keys, count in counted(batches):
+            bit = keys & np.uint64(most - 1)
+            some = (sent.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+            keys, count = keys[some].view(np.int64), count[some]
+            for k in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)]), pa.array(count[k : k + (1 << 16)], pa.int64())], names=["key", "count"])
+
+    counts = written(plain.mapInArrow(exact, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).filter(F.col("count") >= least), "common")
+    got = counts.toArrow()
+    forget(counts)
+    key, n_rows = got.column("key").to_numpy().view(np.uint64), got.column("count").to_numpy()
     order = np.argsort(key)
-    return key[order], n[order]
+    return key[order], n_rows[order]
 
 
 PARTS = "array<struct<part:int,n:int,keys:array<bigint>,odd:array<bigint>>>"
@@ -227,7 +270,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """Of docs (rk, doc_id, text): th and th2, hashes of the words; the fingerprint of the words of LEAST or more bytes;
     the number of distinct shingles, and their parities; and for each part of them the number, the prefix and parities.
     """
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs.select("rk", "text")))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -1,6 +1,9 @@
 """keep_one: rows that repeat an id, large groups and pairs near the threshold, against brute force."""
 
 import random
+from collections import Counter
+
+import pytest
 
 from tarnlake.llm import simhash
 
@@ -47,6 +50,19 @@ def check(spark, texts, most=None):
     return got
 
 
+@pytest.mark.parametrize("block", [1 << 23, 3000])
+def test_common_shingles_are_counted_over_all_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(simhash, "TOGETHER", 9000, raising=False)
+    rng = random.Random(5)
+    lines = ["all rows may hold this line", "fewer rows hold this other line", "and this one hardly any holds"]
+    texts = [" ".join([f"w{i}", *(x for x, p in zip(lines, (0.6, 0.01, 0.0002), strict=True) if rng.random() < p), f"v{i}"]) for i in range(61_000)]
+    want = Counter(s for t in texts for s in simhash.shingles(simhash.word_hashes(t.encode().split())).tolist())
+    docs = spark.createDataFrame(list(enumerate(texts)), "rk long, text string").repartition(9)
+    keys, counts = simhash.common_shingles(docs)
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == {s: n for s, n in want.items() if n * 20_000 >= 3 * len(texts)}
+
+
 def test_large_groups_that_meet_only_at_their_base(spark):
     rng = random.Random(3)
     texts = []
