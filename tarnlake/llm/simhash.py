@@ -22,6 +22,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -135,9 +136,11 @@ LEAST = 4  # bytes of a word that counts in keep_one's fingerprints (of texts th
 SHINGLE = 5
 ALIKE = (4, 5)  # texts are alike if the similarity of their sets of shingles is this fraction or more
 COMMON = (3, 20_000)  # shingles that this share of all rows or more hold, and three rows, go last in prefixes: any order finds all that are alike
-TOGETHER = 14_000  # rows, about, whose shingles are counted together, so that two of them must hold one that may be common
-BLOCK = 1 << 23  # shingles, about, that a task counts at once
-MAYBE = 1 << 25  # bits that tell which shingles may be common
+TOGETHER = 14_000  # rows, about, whose shingles a task counts together
+BLOCK = 1 << 21  # shingles that may be common, about, that a task counts exactly at once
+COUNTERS = 1 << 24  # a power of two: counters of shingles, each of which many shingles share
+SLICES = 256  # parts of them that tasks add up apart
+TOP = 128  # levels of a counter
 PARITY = 16  # longs of parities of a set of shingles: sets of few differences differ in no more of these bits
 SMALL = 500  # shingles a part, up to twice as many: more would fill the bits of their parities
 CENTRES = 6  # rounds, at most, in which a group's texts are compared with one centre; what is left then is compared by pairs
@@ -170,13 +173,15 @@ def shingles(w: np.ndarray) -> np.ndarray:
     return np.unique(mixed(run))
 
 
-def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Those of the shingles s of which a text shares one with every text alike: all but as many as it must share, and
-    one more, in an order that is the same for all texts (rare ones first)."""
+    one more, in an order that is the same for all texts (rare ones first, by their counts if common and else by their levels)."""
     need = -(-ALIKE[0] * len(s) // ALIKE[1])
+    many = np.zeros(len(s), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        s = s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))]
+        many = np.where(common[at] == s, counts[at], 0)
+    s = s[np.lexsort((s, level(s, table), many))]
     return s[: len(s) - need + 1]
 
 
@@ -204,58 +209,95 @@ def parts(s: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(part, x) for part, x in out if len(x)]
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that `least` or more rows of docs (text) hold, COMMON of all and at least three, and how many rows do.
+def least_of(n: int) -> int:
+    """How many of n rows hold a common shingle at least."""
+    return max(3, -(-COMMON[0] * n // COMMON[1]))
 
-    Counts are of all rows. Of blocks of rows, one at least must hold its share of a common shingle: those are told by a
-    table of bits in a first pass, and counted in a second. There are at most as many as a row has shingles, divided by COMMON.
+
+def together(docs: DataFrame, n: int) -> DataFrame:
+    return docs.select("text").coalesce(max(1, n // TOGETHER))
+
+
+def levels(docs: DataFrame, n: int) -> np.ndarray:
+    """Of COUNTERS counters, one of which each shingle raises in all of the n rows of docs (text) that hold it, how far they get:
+    TOP where they reach what makes a shingle common, and shares of that below. So a shingle's level is never less than its own rows make
+    it. How far the others that share its counter add to it does not grow with the rows, as a share of TOP.
     """
-    spark = docs.sparkSession
-    n = docs.count()
-    least, block, most = max(3, -(-COMMON[0] * n // COMMON[1])), BLOCK, MAYBE
+    least, most, slices = least_of(n), COUNTERS, min(SLICES, COUNTERS // 64)
+    each = most // slices
+
+    def raised(batches: Iterator) -> Iterator:
+        """The task's counters by slices, of integers as narrow as a slice can do with."""
+        import pyarrow as pa
 
-    def counted(batches: Iterator) -> Iterator:
-        """Blocks of rows: how many rows, their distinct shingles, and the counts of those."""
         release()
-        held: list[np.ndarray] = []
-        size = 0
+        table = np.zeros(most, np.uint32)
         for b in batches:
             for t in texts(b):
-                held.append(shingles(word_hashes(t.lower().split())))
-                size += len(held[-1])
-                if size >= block:
-                    yield len(held), *np.unique(np.concatenate(held), return_counts=True)
-                    held, size = [], 0
-        if held:
-            yield len(held), *np.unique(np.concatenate(held), return_counts=True)
-
-    def likely(batches: Iterator) -> Iterator:
+                np.add.at(table, (shingles(word_hashes(t.lower().split())) & np.uint64(most - 1)).astype(np.int64), 1)
+        for k in range(slices):
+            own = table[k * each : (k + 1) * each]
+            if (top := own.max()) > 0:
+                data = zlib.compress(own.astype(np.min_scalar_type(top)).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["slice", "data"])
+
+    def total(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for rows, keys, count in counted(batches):
-            keys = keys[count * n >= least * rows].view(np.int64)
-            for k in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)])], names=["rk"])
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column("slice").to_pylist(), b.column("data").to_pylist(), strict=True):
+                raw = zlib.decompress(data)
+                own = sums.setdefault(k, np.zeros(each, np.int64))
+                own += np.frombuffer(raw, f"u{len(raw) // each}")
+        for k, own in sums.items():
+            data = zlib.compress(np.minimum(own * TOP // least, TOP).astype(np.uint8).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["slice", "data"])
+
+    found = written(together(docs, n).mapInArrow(raised, "slice int, data binary").repartition("slice").mapInArrow(total, "slice int, data binary"), "levels")
+    out = np.zeros(most, np.uint8)
+    for r in found.toArrow().to_pylist():  # a row for each slice
+        out[r["slice"] * each : (r["slice"] + 1) * each] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
+    forget(found)
+    return out
+
+
+def level(s: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[(s & np.uint64(len(table) - 1)).astype(np.int64)]
+
 
-    plain = docs.select("text")
-    bits = written(bit_table(plain.coalesce(max(1, n // TOGETHER)).mapInArrow(likely, "rk long"), most), "bits")
-    got = bits.toArrow()  # a row for 64 bits
-    forget(bits)
-    table = np.zeros(most // 64, np.uint64)
-    table[got.column("__tl_word").to_numpy()] = got.column("__tl_bits").to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast(table)
+def common_shingles(docs: DataFrame, n: int | None = None, sent=None) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that least_of(n) or more of the n rows of docs (text) hold, and how many rows do.
+
+    Counts are of all rows, and exact; levels (sent: a broadcast of theirs) tell which shingles need be counted. There are at most as many as a row
+    has shingles, divided by COMMON.
+    """
+    n = docs.count() if n is None else n
+    least, most = least_of(n), BLOCK
+    sent = docs.sparkSession.sparkContext.broadcast(levels(docs, n)) if sent is None else sent
 
     def exact(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for _, keys, count in counted(batches):
-            bit = keys & np.uint64(most - 1)
-            some = (sent.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
-            keys, count = keys[some].view(np.int64), count[some]
+        def counted(held: list[np.ndarray]) -> Iterator:
+            keys, count = np.unique(np.concatenate(held), return_counts=True)
             for k in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)]), pa.array(count[k : k + (1 << 16)], pa.int64())], names=["key", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)].view(np.int64)), pa.array(count[k : k + (1 << 16)], pa.int64())], names=["key", "count"])
+
+        held: list[np.ndarray] = []
+        size = 0
+        for b in batches:
+            for t in texts(b):
+                s = shingles(word_hashes(t.lower().split()))
+                held.append(s[level(s, sent.value) == TOP])
+                size += len(held[-1])
+                if size >= most:
+                    yield from counted(held)
+                    held, size = [], 0
+        if held:
+            yield from counted(held)
 
-    counts = written(plain.mapInArrow(exact, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).filter(F.col("count") >= least), "common")
+    counts = written(together(docs, n).mapInArrow(exact, "key long, count long").groupBy("key").agg(F.sum("count").alias("count")).filter(F.col("count") >= least), "common")
     got = counts.toArrow()
     forget(counts)
     key, n_rows = got.column("key").to_numpy().view(np.uint64), got.column("count").to_numpy()
@@ -270,7 +312,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     """Of docs (rk, doc_id, text): th and th2, hashes of the words; the fingerprint of the words of LEAST or more bytes;
     the number of distinct shingles, and their parities; and for each part of them the number, the prefix and parities.
     """
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+    n, spark = docs.count(), docs.sparkSession
+    held = spark.sparkContext.broadcast(levels(docs, n))
+    common = spark.sparkContext.broadcast(common_shingles(docs, n, held))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -292,7 +336,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     count += np.unpackbits(x[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
                 fp = int(np.packbits(count * 2 > len(x), bitorder="little").view(np.int64)[0])
                 s = shingles(w)
-                mine = [{"part": k, "n": len(y), "keys": prefix(y, *common.value).view(np.int64), "odd": parities(y)} for k, y in parts(s)]
+                mine = [{"part": k, "n": len(y), "keys": prefix(y, *common.value, held.value).view(np.int64), "odd": parities(y)} for k, y in parts(s)]
                 out.append((signed(xxhash.xxh64_intdigest(joined)), signed(xxhash.xxh64_intdigest(joined, 1)), fp, len(s), parities(s), mine))
             yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True))], names=["rk", "doc_id", "th", "th2", "fp", "n", "odd", "parts"])
 
@@ -361,10 +405,13 @@ def apart(met: DataFrame, place: DataFrame, bits: DataFrame) -> DataFrame:
     a part that can be alike by its numbers of shingles, the places of that key, and the parities (of bits) that differ."""
     rows = met.join(place.select("th", "root"), "th")
     w = Window.partitionBy("key", "part")
+    by_n, (p, q) = w.orderBy("n"), ALIKE
+    rows = rows.withColumn("less", F.lag("n").over(by_n)).withColumn("more", F.lead("n").over(by_n))
     rows = rows.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).filter("low <> high")
+    # who is too unlike in size to the next smaller and the next larger is so to all
+    rows = rows.filter(f"{q} * less >= {p} * n OR {q} * n >= {p} * more")
     rows = written(rows.select("key", "th", "part", "root", "n", "pos").join(bits, ["th", "part"]), "apart")
     x, y = (rows.select("key", "part", *(F.col(c).alias(f"{c}_{s}") for c in ("th", "root", "n", "pos", "odd"))) for s in "ab")
-    p, q = ALIKE
     can = f"{CAN} AND {p + q} * (least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b)) >= {p} * (n_a + n_b)"
     out = written(ordered(x.join(y, ["key", "part"]).filter(f"th_a < th_b AND root_a <> root_b AND {can}").select(F.col("th_a").alias("a"), F.col("th_b").alias("b"))), "pairs")
     forget(rows)
