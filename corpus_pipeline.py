@@ -22,6 +22,10 @@ from tarnlake.llm import decontam, packing, quality, secret_scan, simhash
 from tarnlake.llm.common import docs_of, work_path, written
 
 
+#: For the encoders of pack: executors come to it with heaps that near_dedup has filled, so workers keep smaller tables than op7's.
+PACK_KNOWN = 100_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
@@ -39,7 +43,7 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs_of(docs), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs_of(docs), public_tokenizers.path("byte_bpe_50k.json"), known=PACK_KNOWN)
 
 
 STAGES = [

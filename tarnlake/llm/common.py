@@ -170,6 +170,10 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 
 
+#: Pieces in each of an encoder's two tables.
+PIECES = 500_000
+
+
 class WordEncoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library, encoding each distinct piece once.
 
@@ -188,7 +192,7 @@ class WordEncoder:
     WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
     LONG = 64
 
-    def __init__(self, name: str, most: int = 500_000):
+    def __init__(self, name: str, most: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -298,8 +302,12 @@ def release() -> None:
     _ENCODERS.clear()
 
 
-def encoder(name: str) -> WordEncoder:
-    """The process's encoder for a tokenizer file: later tasks of a worker find the pieces of earlier ones."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = WordEncoder(name)
+def encoder(name: str, most: int = PIECES) -> WordEncoder:
+    """The process's encoder for a tokenizer file: later tasks of a worker find the pieces of earlier ones.
+
+    One that was made with tables of another size gives way.
+    """
+    if name not in _ENCODERS or _ENCODERS[name].most != most:
+        _ENCODERS.pop(name, None)  # before the other is made, so that the two are never held at once
+        _ENCODERS[name] = WordEncoder(name, most)
     return _ENCODERS[name]

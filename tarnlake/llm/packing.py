@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm.common import docs_of, encoder, prepare
+from tarnlake.llm.common import PIECES, docs_of, encoder, prepare
 
 END = 0
 
@@ -137,8 +137,11 @@ class Packer:
         return [*out, now] if now else out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = END) -> DataFrame:
-    """Documents (doc_id, text) as ids with an end id, cut freely into pieces in sequences: a row for each piece."""
+def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = END, known: int = PIECES) -> DataFrame:
+    """Documents (doc_id, text) as ids with an end id, cut freely into pieces in sequences: a row for each piece.
+
+    known: the size of the encoders' tables, which is memory of each worker against time; ids do not hang on it.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -148,7 +151,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
         import pyarrow as pa
 
         kinds = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
-        encode, packer = encoder(tokenizer), Packer(limits, True)
+        encode, packer = encoder(tokenizer, known), Packer(limits, True)
         base, n = TaskContext.get().partitionId() << 40, 0
         rows: list[tuple] = []
 

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline as P
 from tarnlake.llm import quality, simhash
-from tarnlake.llm.common import written
+from tarnlake.llm.common import PIECES, written
 
 D = "/root/testdata/sf0.01"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, rk string"
@@ -57,6 +57,14 @@ def test_stages_chain(spark):
     assert total(again) == total(pieces) and len(key(again)) >= len(total(again))
 
 
+def test_pack_keeps_smaller_tables_than_op7(spark, monkeypatch):
+    """By then near_dedup has filled the executors' heaps."""
+    asked, pack = [], P.packing.pack_documents
+    monkeypatch.setattr(P.packing, "pack_documents", lambda *a, **b: asked.append(b.get("known", PIECES)) or pack(*a, **b))
+    assert P.STAGES[-1][1](spark, spark.createDataFrame([(1, "some words here")], "doc_id long, text string"), D).count() == 1
+    assert asked == [P.PACK_KNOWN] and PIECES >= 5 * P.PACK_KNOWN
+
+
 def test_stages_take_odd_rows(spark):
     rows = [(1, None, None, None, None, "x"), (None, "a b c", "en", "s", 5, "x"), (2, "", "en", "s", 0, "y"), (3, "token = abcdefgh " + "fine words here " * 20, "en", "s", 9, "z")]
     docs = spark.createDataFrame(rows, COLUMNS)

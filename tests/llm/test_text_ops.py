@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tarnlake.llm import packing, tokenbin
+from tarnlake.llm import common, packing, tokenbin
 from tarnlake.llm import secret_scan as secrets
 from tarnlake.llm.common import WordEncoder, work_path
 
@@ -145,6 +145,24 @@ def test_packing_covers_all_ids(spark):
     assert check_pieces(got, brute_ids(rows)) < 0.01
 
 
+def test_packing_does_not_hang_on_the_size_of_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(packing.pack_documents(docs, NAME, known=40)) == key(packing.pack_documents(docs, NAME))
+
+
+def test_encoders_of_another_size_give_way():
+    """One encoder in a process for a file; its tables stay within the size asked for, but for one text's pieces."""
+    common.release()
+    large = common.encoder(NAME)
+    e = common.encoder(NAME, 200)
+    assert large.most == common.PIECES and e.most == 200 and common.encoder(NAME, 200) is e and list(common._ENCODERS.values()) == [e]
+    for k in range(60):
+        e(" ".join(f"w{k}x{j}" for j in range(50)))
+        assert max(len(e.after), len(e.older)) <= 200 + 100
+    common.release()
+
+
 def test_packing_whole_examples(spark):
     rows = [(k, (k * 37) % 700 + 1, (k * 11) % 300) for k in range(500)] + [(900, 5000, 1), (None, None, None)]
     got = packing.pack_examples(spark.createDataFrame(rows, "example_id long, n_tokens long, n_loss long").coalesce(1), packing.Limits(1024, 8, 500)).collect()
