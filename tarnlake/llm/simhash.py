@@ -360,7 +360,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("rk"), pa.array([shingles(word_hashes(t.lower().split())).tobytes() for t in texts(b)], pa.binary())], names=["rk", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("th"), pa.array([shingles(word_hashes(t.lower().split())).tobytes() for t in texts(b)], pa.binary())], names=["th", "s"])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -379,7 +379,8 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     need = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
     need = written(nodes.join(need, "th", "left_semi").select("th", "rk"), "need")
     texts_of = marked(docs, "rk", bit_table(need)).filter("__tl_maybe").select("rk", "text").dropDuplicates(["rk"])
-    sets = written(texts_of.mapInArrow(whole, "rk long, s binary").join(need, "rk").select("th", "s"), "sets")
+    # the texts lie by rk from here on, so only need is dealt out; sets of shingles are larger, and move no more than they must
+    sets = written(texts_of.join(need, "rk").select("th", "text").mapInArrow(whole, "th long, s binary"), "sets")
     x, y = (sets.select(F.col("th").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     out = written(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "alike")
     forget(pairs, need, sets)
@@ -440,8 +441,20 @@ def independent(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, gone) if gone else edges.select(F.col("a").alias("th")).limit(0)
 
 
-def that_go(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(th) of the nodes (th, first, rk, fp, n, odd, parts) that are alike to one that stays; no two that stay are alike.
+def meetings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of nodes (th, parts), written: met (th, n, part, key, pos, many), the keys of which `many` parts of a number share one, two or more;
+    and bits (th, part, odd), the parities of all parts. With these, nodes can do without their parts.
+
+    All keys are shuffled once. Their columns are few, and ordered so that what rows of one part have in common is in one piece, which compresses.
+    """
+    each = nodes.select("th", F.explode("parts").alias("x")).select("th", "x.n", "x.part", "x.keys", "x.odd")
+    keys = each.select("th", "n", "part", F.posexplode("keys").alias("pos", "key")).select("th", "n", "part", "key", "pos")
+    met = written(keys.withColumn("many", F.count("*").over(Window.partitionBy("key", "part"))).filter("many > 1"), "met")
+    return met, written(each.select("th", "part", "odd"), "bits")
+
+
+def that_go(nodes: DataFrame, met: DataFrame, bits: DataFrame, docs: DataFrame) -> DataFrame:
+    """(th) of the nodes (th, first, rk, fp, n, odd) that are alike to one that stays; no two that stay are alike. met and bits: see meetings.
 
     Alike texts have a part alike, and so share a shingle of its prefixes: the pairs that share one are all there can be. Not all need
     be compared. Groups come first: each node is compared with the one under its keys whose own keys are shared
@@ -451,12 +464,8 @@ def that_go(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     and the centre stays. A node that only a chain ties to the centre is not alike to it, and is left for a next
     round, with a next centre. When FEW are left, or after CENTRES rounds, they are compared by all pairs of theirs.
     """
-    each = nodes.select("th", F.explode("parts").alias("x")).select("th", "x.part", "x.n", "x.keys", "x.odd")
-    keys = each.select("th", "part", "n", F.size("keys").alias("p"), F.posexplode("keys").alias("pos", "key"))
-    met = keys.withColumn("many", F.count("*").over(Window.partitionBy("key", "part"))).filter("many > 1")
-    met = written(met, "met")
-    bits = each.select("th", "part", "odd")
-    share = met.groupBy("th", "part").agg((F.sum(F.log("many")) / F.first("p")).alias("share"))
+    long = F.first("n") - F.ceil(F.first("n") * ALIKE[0] / ALIKE[1]) + 1  # of a part's prefix
+    share = met.groupBy("th", "part").agg((F.sum(F.log("many")) / long).alias("share"))
     hub = F.max(F.struct("share", "th")).over(Window.partitionBy("key", "part"))
     hubs = met.select("key", "th", "part").join(share, ["th", "part"]).select("th", hub.alias("hub")).filter("hub.th <> th").groupBy("th").agg(F.max("hub").alias("hub"))
     pairs = ordered(proposed(nodes).unionAll(hubs.select("th", "hub.th")))
@@ -488,8 +497,9 @@ def that_go(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     if not left.isEmpty():
         pairs = apart(met, left.select("th", F.col("th").alias("root")), bits)
         gone.append(independent(similar(pairs, nodes, docs)))
-    forget(met)
-    return written(reduce(DataFrame.unionAll, gone), "gone") if gone else nodes.select("th").limit(0)
+    out = written(reduce(DataFrame.unionAll, gone), "gone") if gone else nodes.select("th").limit(0)
+    forget(met, bits)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -509,10 +519,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     held = ["fp", "n", "odd", "parts"]
     nodes = rows.groupBy("th").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"), F.min("rk").alias("rk"), *(F.first(c).alias(c) for c in held), (F.min("th2") == F.max("th2")).alias("one"))
     nodes = written(nodes.filter("one").drop("one"), "nodes")
-    gone = that_go(nodes, plain)
+    # prefixes and parities are most of these tables: each goes as soon as what is read of it later is written apart
+    ids = written(rows.select("rk", "doc_id", "th"), "ids")
+    forget(rows)
+    met, bits = meetings(nodes)
+    slim = written(nodes.drop("parts"), "slim")
+    forget(nodes)
+    gone = that_go(slim, met, bits, plain)
     # rows that go: those of a text that goes, and of one that stays all but those of its smallest doc_id
-    fate = nodes.select("th", "first", "times").join(gone.select("th", F.lit(True).alias("goes")), "th", "left").filter("goes OR times > 1")
-    of = written(rows.select("rk", "doc_id", "th").join(fate.select("th", "first", "goes"), "th"), "fate")
+    fate = slim.select("th", "first", "times").join(gone.select("th", F.lit(True).alias("goes")), "th", "left").filter("goes OR times > 1")
+    of = written(ids.join(fate.select("th", "first", "goes"), "th"), "fate")
+    forget(ids, slim)
     drop = written(of.filter("goes OR NOT doc_id <=> first").select(F.col("rk").alias("__tl_drk"), F.col("doc_id").alias("__tl_id")).distinct(), "drop")
     low = of.filter("goes IS NULL AND doc_id <=> first").groupBy("th", "doc_id", "rk").count()
     more = Window.partitionBy("th", "doc_id")  # an id may repeat with other texts, whose rows are not these

@@ -76,6 +76,41 @@ def test_few_shingles_are_counted_that_are_not_common(spark, monkeypatch):
     assert moved() - start < 5 << 20
 
 
+def test_prefixes_and_sets_take_no_more_disk_than_they_must(spark, monkeypatch):
+    """Tables that hold prefixes go once met is written, and sets of shingles are not dealt out before they are written."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(150):
+        w = prose(rng, 2000)
+        texts += [" ".join(w), " ".join([*w[:-1], "edited"])]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    moved = lambda: sum(e.totalShuffleWrite() for e in (x.apply(k) for x in [store.executorList(False)] for k in range(x.size())))
+    plain, tables, held, most = simhash.written, [], set(), {}
+
+    def watched(df, name, *more):
+        start = moved()
+        if any(n == "met" for n, _ in tables) and name not in ("bits", "slim"):
+            held.update(n for n, t in tables if "parts" in t.columns and there(spark, t))
+        out = plain(df, name, *more)
+        tables.append((name, out))
+        most[name] = max(most.get(name, 0), moved() - start)
+        return out
+
+    monkeypatch.setattr(simhash, "written", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(spark, texts, most=150)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not held
+    assert most["sets"] < 8 * sum(map(len, sets_of(texts)))
+
+
+def there(spark, table):
+    at = spark._jvm.org.apache.hadoop.fs.Path(table._tl_path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def test_large_groups_that_meet_only_at_their_base(spark):
     rng = random.Random(3)
     texts = []
